@@ -25,7 +25,7 @@ BROADCAST_TERMS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Weight of the record's own model; rounds end when no probability moves by more than TOLERANCE.
 OWN_WEIGHT, ROUNDS, TOLERANCE = 0.1, 60, 1e-5
 
-SCHEMA = "chunk_id string, term string, tf int, df bigint, score double, place int"
+SCHEMA = "chunk_id string, listed boolean, term string, tf int, df bigint, score double, place int"
 
 
 def own_probabilities(record: np.ndarray, tf: np.ndarray, background: np.ndarray, weight: float = OWN_WEIGHT) -> np.ndarray:
@@ -47,7 +47,7 @@ def own_probabilities(record: np.ndarray, tf: np.ndarray, background: np.ndarray
     return p
 
 
-def _rows(ids: pa.Array, record: np.ndarray, terms: pa.Array, order: np.ndarray, tf: np.ndarray, cf: np.ndarray, df: np.ndarray, total: float, least_tf: int, most_df: int | None) -> pa.RecordBatch:
+def _rows(ids: pa.Array, listed: pa.Array, record: np.ndarray, terms: pa.Array, order: np.ndarray, tf: np.ndarray, cf: np.ndarray, df: np.ndarray, total: float, least_tf: int, most_df: int | None) -> pa.RecordBatch:
     p = own_probabilities(record, tf, cf / total)
     by = np.lexsort((order, -np.round(p, 9), record))
     place = np.empty(len(p), dtype=np.int32)
@@ -57,8 +57,9 @@ def _rows(ids: pa.Array, record: np.ndarray, terms: pa.Array, order: np.ndarray,
     if most_df is not None:
         keep &= df <= most_df
     at = pa.array(np.flatnonzero(keep))
-    names = ["chunk_id", "term", "tf", "df", "score", "place"]
-    columns = [ids.take(pa.array(record[keep])), terms.take(at), pa.array(tf[keep].astype(np.int32)), pa.array(df[keep].astype(np.int64)), pa.array(p[keep]), pa.array(place[keep])]
+    names = ["chunk_id", "listed", "term", "tf", "df", "score", "place"]
+    whose = pa.array(record[keep])
+    columns = [ids.take(whose), listed.take(whose), terms.take(at), pa.array(tf[keep].astype(np.int32)), pa.array(df[keep].astype(np.int64)), pa.array(p[keep]), pa.array(place[keep])]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -100,24 +101,24 @@ def _with_broadcast(records: DataFrame, counts: DataFrame, total: float, least_t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, cf, df = shared.value
         for batch in batches:
-            record, entries = _flat(batch.column(1))
+            record, entries = _flat(batch.column(2))
             own = entries.field("term")
             at = pc.index_in(own, value_set=terms).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield _rows(batch.column(0), record, own, at, entries.field("tf").to_numpy(), cf[at], df[at], total, least_tf, most_df)
+            yield _rows(batch.column(0), batch.column(1), record, own, at, entries.field("tf").to_numpy(), cf[at], df[at], total, least_tf, most_df)
 
-    return records.select("chunk_id", "terms").mapInArrow(run, SCHEMA)
+    return records.select("chunk_id", "listed", "terms").mapInArrow(run, SCHEMA)
 
 
 def _with_join(records: DataFrame, counts: DataFrame, total: float, least_tf: int, most_df: int | None) -> DataFrame:
     """Hot terms meet one row of ``counts`` each; AQE splits their side of the join."""
-    flat = records.select("chunk_id", F.explode("terms").alias("t")).select("chunk_id", "t.term", "t.tf")
-    lists = flat.join(counts, "term").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "cf", "df"))).alias("terms"))
+    flat = records.select("chunk_id", "listed", F.explode("terms").alias("t")).select("chunk_id", "listed", "t.term", "t.tf")
+    lists = flat.join(counts, "term").groupBy("chunk_id", "listed").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "cf", "df"))).alias("terms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            record, e = _flat(batch.column(1))
+            record, e = _flat(batch.column(2))
             get = lambda c: e.field(c).to_numpy()
-            yield _rows(batch.column(0), record, e.field("term"), np.arange(len(record)), get("tf"), get("cf"), get("df"), total, least_tf, most_df)
+            yield _rows(batch.column(0), batch.column(1), record, e.field("term"), np.arange(len(record)), get("tf"), get("cf"), get("df"), total, least_tf, most_df)
 
     return lists.mapInArrow(run, SCHEMA)
 
@@ -140,7 +141,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = characteristic(records(spark, folder), least_tf=3, most_df=3)
-    return rows.where("df > 0").select("chunk_id", "term").distinct()
+    return rows.where("listed").select("chunk_id", "term").distinct()
 
 
 def p5_scores(spark: SparkSession, folder: str) -> DataFrame:

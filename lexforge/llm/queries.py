@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinct, encode, leak, lookalike, mix, nearcopy, overlap, split
+from . import answers, cutoff, distinct, encode, leak, lookalike, mix, nearcopy, overlap, split
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": answers.p1_found,
+        "p1_rates": answers.p1_rates,
         "p2_found": split.p2_found,
         "p2_pieces": split.p2_pieces,
         "p3_found": lookalike.p3_found,
@@ -26,6 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": encode.p8_ids,
         "p9_mix": mix.p9_mix,
         "p9_report": mix.p9_report,
+        "p10_found": cutoff.p10_found,
+        "p10_rates": cutoff.p10_rates,
     }
 
 
