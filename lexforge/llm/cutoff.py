@@ -43,6 +43,13 @@ RARELY = 0.1
 #: Numbers and abbreviations before a stop that are seldom an end: the stop belongs to them.
 RARELY_STOPPED = 0.03
 
+#: Words that cannot close even a short phrase (fixed values).
+FUNCTION_WORDS = (
+    "và của với cho thì là mà để từ theo tại trong khi nếu các những một được bị không vì do về đến tới ra vào lên "
+    "bằng hay hoặc như đã sẽ đang có phải cần nên ở trên dưới giữa sau trước cùng rồi nhưng song còn bởi hỏi "
+    "the a an of to in on at for and or by with from that which is are be shall must may"
+).split()
+
 _SQL_LINES = """
 with bodies as (
   select doc_id, source, text_key, broken,
@@ -55,7 +62,7 @@ with bodies as (
               when (size(lines) = 1 or line rlike '^\\\\s*(?iu:đáp|trả lời|answer|a)\\\\s*:') and not line rlike '[.!?;] +[\\\\p{Lu}\\\\p{N}"]'
                 then case when line rlike '^(?:[^ ]+ +){0,15}[^ ]+ *$' then 'short' else 'single' end
               else 'running' end as kind,
-         regexp_extract_all(line, '{token}', 0) as tokens
+         regexp_extract_all(regexp_replace(line, '^\\\\s*(?iu:đáp|trả lời|answer|a)\\\\s*:', ''), '{token}', 0) as tokens
   from bodies lateral view posexplode(lines) t as pos, line
 )
 select doc_id, source, text_key, broken, n, pos, line, kind,
@@ -104,7 +111,7 @@ from grams group by kind, gram
 """
 
 _SQL_ENDS = f"""
-select doc_id, source, text_key, broken, n, line, kind, stopped, first_copy,
+select doc_id, source, text_key, broken, n, line, kind, stopped, first_copy, size(words) as n_words, coalesce(try_element_at(words, -1), '') as last_word,
        {_gram("w", False)} as word_gram, {_gram("s", False)} as shape_gram, {_gram("b", False)} as pair_gram
 from {{lines}} where last
 """
@@ -124,6 +131,8 @@ with judged as (
 ), rates as (
   select *,
          case when kind = 'running' then case when w_seen >= {support} then w_open / w_seen when s_seen >= {support} then s_open / s_seen / 3 else 0 end
+              when n_words <= 6 and kind = 'short' and p_seen >= {support} and not last_word in ({function_words}) then 1
+              when kind = 'short' and p_seen >= {support} then (w_open + 4 * p_ends / p_seen) / (w_seen + 4) * 30
               when p_seen >= {support} then (w_open + 4 * p_ends / p_seen) / (w_seen + 4) * 3
               when s_seen >= {support} then s_open / s_seen
               when b_seen >= {support} then b_open / b_seen else 0 end as open_rate,
@@ -178,6 +187,7 @@ def cut_texts(docs: DataFrame, rarely: float = RARELY) -> DataFrame:
     ends = _sql(spark, _SQL_ENDS, lines=lines)
     pooled = counts.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum(F.col("open_ends") + F.col("closed_ends")).alias("ends"))
     judge = _SQL_JUDGE.replace("{support}", str(SUPPORT)).replace("{rarely}", str(rarely)).replace("{rarely_stopped}", str(RARELY_STOPPED))
+    judge = judge.replace("{function_words}", ", ".join(f"'{w}'" for w in FUNCTION_WORDS))
     return _sql(spark, judge, ends=ends, counts=counts, pooled=pooled)
 
 
