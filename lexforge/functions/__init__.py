@@ -1 +1 @@
-"""Package functions."""
+"""Column expressions."""

@@ -1 +1 @@
-"""Package operators."""
+"""DataFrame operators."""

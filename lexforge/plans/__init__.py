@@ -1 +1 @@
-"""Package plans."""
+"""Query catalogue and end-to-end plans."""

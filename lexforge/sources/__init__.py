@@ -1 +1 @@
-"""Package sources."""
+"""Sources and sinks."""
