@@ -5,8 +5,8 @@ in a bounded number of elements once their sizes lie in the same band, so the sh
 domain is partitioned by hash into n1 parts of n2 subparts each, and the content of every
 choice of n2 - k2 subparts of a part is a signature: similar sets agree on some of them.
 Every set makes signatures for its own size band and for the next one, so that partners of
-neighbouring bands meet.  Signatures of less than two shingles are left out, being no
-evidence; small sets use their least shingles (a prefix filter, which is exact) instead.
+neighbouring bands meet.  Signatures of few shingles are left out, being no evidence;
+small sets use their least shingles (a prefix filter, which is exact) instead.
 Candidates are compared exactly.  See the README for the measured recall.
 """
 
@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from ..runtime import cut, latest, stored, table
 from .forms import consistent_form
 
-N2, K2 = 4, 2
+N2, K2 = 6, 4
 #: Shingles of the largest set of a band per part: the expected content of a signature follows from it.
-PART = 12
+PART = 18
 #: Bands up to this size use the prefix filter.
-SMALL = 96
-LEAST_CONTENT = 2
+SMALL = 48
+#: Signatures with fewer shingles are left out: common phrases alone would make them meet.
+LEAST_CONTENT = 5
+#: Smaller sets are partitioned several times over, until they have about so many signatures.
+SIGNATURES = 400
 _WORDS = re.compile(r"[^\W_]+").findall
 _CHOICES = np.array([[i in c for i in range(N2)] for c in combinations(range(N2), N2 - K2)], dtype=bool)
 
@@ -72,17 +75,19 @@ def signatures(s: np.ndarray, t: float) -> np.ndarray:
             out.append(_scramble(s[:prefix] + tag))
             continue
         n1 = max(2, round(largest / PART))
-        mixed = _scramble(s)
-        cell = (mixed % np.uint64(n1 * N2)).astype(np.int64)
-        content = np.zeros(n1 * N2, dtype=np.uint64)
-        np.add.at(content, cell, _scramble(mixed + tag))
-        count = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
-        content = content.reshape(n1, N2)
-        for number, chosen in enumerate(_CHOICES):
-            total = content[:, chosen].sum(axis=1, dtype=np.uint64)
-            enough = count[:, chosen].sum(axis=1) >= LEAST_CONTENT
-            place = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(number)
-            out.append(_scramble(total + _scramble(place + tag))[enough])
+        for turn in range(max(1, round(SIGNATURES / (n1 * len(_CHOICES))))):
+            salt = tag + np.uint64(turn)
+            mixed = _scramble(s + np.uint64(turn))
+            cell = (mixed % np.uint64(n1 * N2)).astype(np.int64)
+            content = np.zeros(n1 * N2, dtype=np.uint64)
+            np.add.at(content, cell, _scramble(mixed + salt))
+            count = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
+            content = content.reshape(n1, N2)
+            for number, chosen in enumerate(_CHOICES):
+                total = content[:, chosen].sum(axis=1, dtype=np.uint64)
+                enough = count[:, chosen].sum(axis=1) >= LEAST_CONTENT
+                place = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(number)
+                out.append(_scramble(total + _scramble(place + salt))[enough])
     return np.concatenate(out)
 
 
@@ -122,11 +127,18 @@ def similar_classes(members: DataFrame, k: int, t: float) -> DataFrame:
     pairs = a.join(b, "signature").where(F.col("class_a") < F.col("class_b")).where(near).select("class_a", "class_b").distinct()
     left = sets.select(F.col("class").alias("class_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("class").alias("class_b"), F.col("shingles").alias("set_b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
+    jaccard = lambda x, y: F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y) - F.size(F.array_intersect(x, y)))
+    # half-width hashes first, with a margin for their collisions; exact sets only for what is left
+    short = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    near = (
+        pairs.join(left.select("class_a", short("set_a").alias("s_a")), "class_a")
+        .join(right.select("class_b", short("set_b").alias("s_b")), "class_b")
+        .where(jaccard("s_a", "s_b") >= t - 0.02)
+        .select("class_a", "class_b")
+    )
     return (
-        pairs.join(left, "class_a")
-        .join(right, "class_b")
-        .select("class_a", "class_b", (both / (F.size("set_a") + F.size("set_b") - both)).alias("similarity"))
+        near.join(left, "class_a").join(right, "class_b")
+        .select("class_a", "class_b", jaccard("set_a", "set_b").alias("similarity"))
         .where(F.col("similarity") >= t - 1e-12)
     )
 
