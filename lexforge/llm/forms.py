@@ -112,8 +112,18 @@ TO_GREEK_TO_CYRILLIC = TO_CYRILLIC | {ord(g): TO_CYRILLIC[ord(x)] for g, x in zi
 TO_CYRILLIC_TO_GREEK = TO_GREEK | {ord(c): TO_GREEK[ord(x)] for c, x in zip(CYRILLIC, CYRILLIC_AS_LATIN) if ord(x) in TO_GREEK}
 
 
+#: Texts of these characters only are in the consistent form already: they never go to Python.
+PLAIN = (
+    r"^[\n\x20-\x7E§«°»×÷àáâãèéêìíòóôõùúýÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝăĂđĐĩĨũŨơƠưƯẠ-ỹ"
+    r"–—‘’“”•…]*$"
+)
+_PLAIN = re.compile(PLAIN[1:-2] + "*").fullmatch
+
+
 def consistent(text: str) -> str:
     """The consistent form of one text."""
+    if _PLAIN(text):
+        return text
     text = unicodedata.normalize("NFD", text).translate(ALWAYS).replace("\r\n", "\n").replace("\r", "\n")
     if _LOOKALIKE.search(text):
         text = _WORD.sub(_own_script, text)
@@ -125,13 +135,6 @@ def consistent(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-#: Texts of these characters only are in the consistent form already: they never go to Python.
-PLAIN = (
-    r"^[\n\x20-\x7E§«°»×÷àáâãèéêìíòóôõùúýÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝăĂđĐĩĨũŨơƠưƯẠ-ỹ"
-    r"–—‘’“”•…]*$"
-)
-
-
 @F.pandas_udf(StringType())
 def _consistent_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: consistent(x) if x is not None else None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import stored, table
 from .forms import consistent_form
 
 
@@ -32,7 +32,7 @@ def same_look(items: DataFrame) -> DataFrame:
     aggregated min/max, so a text copied a million times costs a row per task, and copies
     of one string never meet each other.
     """
-    keyed = forms(items).select("kind", "skeleton", F.xxhash64("text").alias("string"), "id")
+    keyed = stored(forms(items).select("kind", "skeleton", F.xxhash64("text").alias("string"), "id"))
     varied = (
         keyed.groupBy("kind", "skeleton")
         .agg(F.min("string").alias("lo"), F.max("string").alias("hi"))
