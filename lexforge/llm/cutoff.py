@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import stored, table
+from ..runtime import small, stored, table
 from .forms import consistent_form
 
 #: Marks and notices that may follow a cut (fixed values).
@@ -52,11 +52,11 @@ FUNCTION_WORDS = (
 
 _SQL_LINES = """
 with bodies as (
-  select doc_id, source, text_key, broken,
+  select doc_id, source, text_key, broken, first_copy,
          filter(split(body, '\\n'), x -> trim(x) <> '') as lines
   from {docs}
 ), kinds as (
-  select doc_id, source, text_key, broken, size(lines) as n, pos,
+  select doc_id, source, text_key, broken, first_copy, size(lines) as n, pos,
          trim(line) as line,
          case when line rlike '^\\\\s*[•*·▪◦►+–-]' then concat('item ', coalesce(source, ''))
               when (size(lines) = 1 or line rlike '^\\\\s*(?iu:đáp|trả lời|answer|a)\\\\s*:') and not line rlike '[.!?;] +[\\\\p{Lu}\\\\p{N}"]'
@@ -65,11 +65,11 @@ with bodies as (
          regexp_extract_all(regexp_replace(line, '^\\\\s*(?iu:đáp|trả lời|answer|a)\\\\s*:', ''), '{token}', 0) as tokens
   from bodies lateral view posexplode(lines) t as pos, line
 )
-select doc_id, source, text_key, broken, n, pos, line, kind,
+select doc_id, source, text_key, broken, first_copy, n, pos, line, kind,
        pos = n - 1 as last,
        line rlike '[.!?:;,][)"”’»]*$' as stopped,
-       transform(tokens, x -> case when x rlike '^[0-9].*[/:-]' then 'D' when x rlike '^[0-9.,]+$' then '#' else lower(x) end) as words,
-       transform(tokens, x -> case when x rlike '^[0-9].*[/:-]' then 'D' when x rlike '^[0-9.,]+$' then '#' when x rlike '^\\\\p{Lu}' then 'X' else x end) as shapes
+       transform(tokens, x -> case when x >= ':' then lower(x) when contains(x, '/') or contains(x, '-') or contains(x, ':') then 'D' else '#' end) as words,
+       transform(tokens, x -> case when x >= ':' then case when lower(left(x, 1)) = left(x, 1) then x else 'X' end when contains(x, '/') or contains(x, '-') or contains(x, ':') then 'D' else '#' end) as shapes
 from kinds
 """
 
@@ -135,7 +135,9 @@ with judged as (
               when kind = 'short' and p_seen >= {support} then (w_open + 4 * p_ends / p_seen) / (w_seen + 4) * 30
               when p_seen >= {support} then (w_open + 4 * p_ends / p_seen) / (w_seen + 4) * 3
               when s_seen >= {support} then s_open / s_seen
-              when b_seen >= {support} then b_open / b_seen else 0 end as open_rate,
+              when b_seen >= {support} then b_open / b_seen
+              when kind = 'short' and n_words <= 6 and not last_word in ({function_words}) then 1
+              else 0 end as open_rate,
          case when w_seen >= {support} then w_closed / w_seen when s_seen >= {support} then s_closed / s_seen end as closed_rate
   from judged
 )
@@ -179,10 +181,13 @@ def cut_texts(docs: DataFrame, rarely: float = RARELY) -> DataFrame:
     broken = F.col("form").rlike(r"\x{FFFD}\W*\z")
     # what is left behind a stripped notice keeps its own last mark; a form of notices only counts as blank
     bodies = form.select("doc_id", "source", F.xxhash64("form").alias("text_key"), broken.alias("broken"), body.alias("body")).where(F.trim("body") != "")
-    first = bodies.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first_copy"))
+    bodies = stored(bodies)
+    # only the repeated texts need a shuffle by document: which copies do not count
+    first = bodies.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", "first")
+    copies = stored(bodies.select("doc_id", "text_key").join(first, "text_key").where("doc_id <> first").select("doc_id", F.lit(False).alias("first_copy")))
+    bodies = bodies.join(small(copies, copies.count()), "doc_id", "left").withColumn("first_copy", F.coalesce("first_copy", F.lit(True)))
     token = TOKEN.replace("\\", "\\\\")
-    lines = _sql(spark, _SQL_LINES.replace("{token}", token), docs=bodies)
-    lines = stored(lines.join(first, "doc_id", "left").withColumn("first_copy", F.coalesce("first_copy", F.lit(False))))
+    lines = stored(_sql(spark, _SQL_LINES.replace("{token}", token), docs=bodies))
     counts = stored(_sql(spark, _SQL_COUNTS, lines=lines))
     ends = _sql(spark, _SQL_ENDS, lines=lines)
     pooled = counts.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum(F.col("open_ends") + F.col("closed_ends")).alias("ends"))
