@@ -35,7 +35,7 @@ def _mix(codes: np.ndarray) -> np.ndarray:
     """Slot of the block of BLOCK words that ends at each position (positions before it give 0)."""
     h = np.zeros(len(codes), dtype=np.uint64)
     for back in range(BLOCK):
-        shifted = codes if not back else np.concatenate([np.zeros(back, np.uint64), codes[:-back]])
+        shifted = np.concatenate([np.zeros(min(back, len(codes)), np.uint64), codes[: max(0, len(codes) - back)]])
         h = h * np.uint64(0x9E3779B97F4A7C15) + shifted
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)

@@ -63,7 +63,7 @@ def mixture(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
     full = [(s, share, k, have.get(s, (0, 0))[1]) for s, share, k in goals]
     total = plan(full)
     usable = [(s, share, k, t) for s, share, k, t in full if t > 0 and k > 0]
-    slots = math.ceil(total * sum(share for _, share, _, _ in usable) / sum([x[1] for x in full] or [1]) / block_tokens) if usable else 0
+    slots = math.ceil(total * sum(share for _, share, _, _ in usable) / block_tokens) if usable else 0
     schema = "slot bigint, place int, source string, doc_id bigint, pass int, n_tokens bigint"
     if not slots:
         mix = spark.createDataFrame([], schema)

@@ -73,7 +73,7 @@ def pieces(text: str, max_size: int, overlap: int, unit: str = "chars", fill: fl
                 end, kind = int(offsets[i]), name
                 break
         out.append((start, end, kind))
-        back = int(np.searchsorted(total, total[end] - overlap, side="left"))
+        back = int(np.searchsorted(total, total[end] - overlap, side="right")) - 1
         start = back if back > start else end
     out.append((start, n, "end"))
     return out
