@@ -110,9 +110,10 @@ def eval_records(data: bytes, lines: bool) -> tuple[list[tuple[str, str]], list[
         for n, line in enumerate(data.split(b"\n"), 1):
             if line.strip():
                 value, problem = load_json(line)
-                items.append(value)
                 if problem:
                     problems.append((problem, f"line {n}"))
+                else:
+                    items.append(value)
     else:
         value, problem = load_json(data)
         if problem:
