@@ -41,10 +41,13 @@ _PLACEHOLDER = re.compile(
 )
 
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
 def plain(text: str) -> str:
     """Lower case without accents, words joined by single blanks."""
     text = unicodedata.normalize("NFD", text.lower().replace("đ", "d"))
-    return " ".join(_WORDS("".join(c for c in text if not unicodedata.combining(c))))
+    return " ".join(_WORDS(_MARKS.sub("", text)))
 
 
 def core(answer: str) -> str:
@@ -98,6 +101,8 @@ _COURTESY = re.compile(
 def is_refusal(body: str) -> bool:
     """A refusing sentence, and at most REFUSAL_REST words in sentences of another kind."""
     refused, rest = bool(_REFUSALS_OTHER.search(body)), 0
+    if not refused and not _REFUSALS.search(plain(body)):
+        return False
     for sentence in re.split(r"(?<=[.!?。！？])\s+|\n+", body):
         words = plain(sentence)
         if _REFUSALS.search(words):
@@ -129,6 +134,7 @@ def copies_question(question: str | None, body: str) -> bool:
 # A Vietnamese syllable without accents: onset, vowels, coda.
 _SYLLABLE = re.compile(r"(?:ngh|ng|nh|ch|gh|gi|kh|ph|qu|th|tr|[bcdghklmnpqrstvx])?(?:[aeiouy]|ai|ao|au|ay|eo|eu|ia|ie|ieu|iu|oa|oai|oao|oay|oe|oeo|oi|oo|ua|uai|uao|uau|uay|ue|ui|uo|uoi|uou|uu|uy|uya|uye|uyu|ye|yeu|ya)(?:ch|ng|nh|[cmnpt])?")
 _ACCENTED = re.compile("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹìòùũĩõ]")
+_ACCENTED_WORD = re.compile("[bcdghklmnpqrstvxđ]{0,3}[aeiouy]{0,2}[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹìòùũĩõ]+[aeiouycghmnpt]{0,3}").fullmatch
 # Frequent words of other languages that look like Vietnamese syllables (fixed values).
 _FOREIGN = frozenset(
     "the to in an on is it be not no or of and for this that with shall must may within you your we he she they has have are was were been at by from as but if so do can will "
@@ -152,11 +158,14 @@ def is_foreign(body: str) -> bool:
     and unaccented Vietnamese keeps to the syllables.
     """
     foreign = native = either = 0
-    for word in _WORDS(body):
+    words = _WORDS(body)
+    if 2 * sum(map(bool, map(_ACCENTED_WORD, words))) > len(words):
+        return False  # most words are accented syllables
+    for word in words:
         if any(c.isdigit() for c in word) or len(word) == 1:
             continue
         low = word.lower()
-        bare = "".join(c for c in unicodedata.normalize("NFD", low.replace("đ", "d")) if not unicodedata.combining(c))
+        bare = _MARKS.sub("", unicodedata.normalize("NFD", low.replace("đ", "d")))
         upper = word[0].isupper()
         if not bare.isascii():
             foreign += max(1, len(word) // 2 if ord(word[0]) > 0x2E80 else 1)
