@@ -28,7 +28,7 @@ from .forms import consistent
 #: Novel bytes per byte of the answer, question known; restated questions with an answer lie far above.
 COPY_RATIO = 0.25
 #: Words besides refusal sentences that still make a refusal.
-REFUSAL_REST = 12
+REFUSAL_REST = 20
 #: Bytes an empty zstandard frame takes.
 _FRAME = 9
 
@@ -80,6 +80,11 @@ _REFUSALS = re.compile(
             r"\bnguoi co chuyen mon\b.{0,40}\bdung (?:o|tai) day\b|\bde trong phan (?:giai dap|tra loi)\b",
             r"\bkhong duoc phep (?:tu van|tra loi|dua ra (?:y kien|loi khuyen|tu van)|binh luan|cung cap)\b",
             r"\b(?:khong|chua) the (?:tra loi|giai dap|dua ra (?:cau tra loi|ket luan|y kien)|tu van|binh luan|ho tro (?:ban|yeu cau|cau hoi)|dap ung yeu cau)\b",
+            r"\bcau (?:hoi )?nay (?:\w+ )?(?:kho qua|qua kho)\b|\bthu hoi (?:noi|cho|nguoi) khac\b",
+            r"\bkhong thuoc (?:\w+ )?(?:chuc nang|pham vi|tham quyen|nhiem vu|trach nhiem|kha nang)\b(?: \w+){0,3} (?:kenh|toi|minh|he thong|chung toi|tro ly|tong dai|chuyen muc|ban tu van)\b",
+            r"\bvuot (?:qua |ngoai )?(?:kha nang|pham vi|tham quyen|quyen han|hieu biet)\b(?: \w+){0,3} (?:toi|minh|he thong|chung toi|tro ly|kenh)\b",
+            r"\b(?:khong|chua) co (?:thong tin|du lieu|cau tra loi|quyen tra loi|can cu|tham quyen tra loi)\b(?: \w+){0,4} (?:de|ve|cho|nao)\b(?: \w+){0,6} (?:cau hoi|tra loi|van de|noi dung|yeu cau)\b",
+            r"\b(?:mien|khong) binh luan\b|\btu choi (?:tra loi|giai dap|tu van|cau hoi)\b|\bkhong giup duoc\b|\bkhong tra loi (?:duoc|cau|noi dung|van de)\b|\bdung (?:tra loi|cuoc tro chuyen)\b",
             r"\b(?:i|we) (?:\w+ )?(?:can t|cannot|can not|could not|couldn t|won t|will not|am unable|are unable|am not able|are not able|m unable|m not able|must decline|have to decline|decline|prefer not)\b",
             r"\bas an? (?:ai|artificial|automated|language)\b.{0,40}\b(?:unable|cannot|can t|not able|not allowed|do not|don t)\b",
             r"\b(?:i|we) (?:do not|don t|did not|didn t) (?:have|find|know|possess)\b.{0,30}\b(?:enough|sufficient|information|context|answer|data|evidence|access)\b",
@@ -94,14 +99,27 @@ _REFUSALS = re.compile(
 )
 _REFUSALS_OTHER = re.compile(r"无法(?:回答|提供|帮助|給)|無法(?:回答|提供|幫助)|不能(?:回答|提供)|抱歉|对不起|對不起|申し訳|お答えできません|回答できません|답변(?:할 수 없|을 드릴 수 없)|죄송|ไม่สามารถ(?:ตอบ|ให้)|لا (?:أستطيع|يمكنني)|عذر", re.I)
 _COURTESY = re.compile(
-    r"\b(?:xin loi|rat tiec|mong ban thong cam|dat cau hoi khac|vui long (?:lien he|hoi|tham khao|cung cap)|lien he luat su|cung cap them (?:tai lieu|thong tin)|de nghi cung cap|cam on|thua ban|sorry|apologi[sz]e|please (?:consult|contact|provide|rephrase)|desole|lo siento|maaf|entschuldigung|извините|простите|к сожалению|обратитесь|consult[ae]z?|hubungi)\b"
+    r"\b(?:xin loi|rat tiec|mong ban thong cam|dat cau hoi khac|vui long (?:lien he|hoi|tham khao|cung cap)|lien he luat su|hoi (?:co quan|luat su|chuyen gia|bo phan|nguoi|noi|ben)|co quan co tham quyen|giai dap chinh xac|chuc ban|chuc anh|tham khao (?:y kien|luat su|chuyen gia)|nho luat su|tim den|mong (?:ban|anh|quy)|hen gap lai|tran trong|cung cap them (?:tai lieu|thong tin)|de nghi cung cap|cam on|thua ban|sorry|apologi[sz]e|please (?:consult|contact|provide|rephrase)|desole|lo siento|maaf|entschuldigung|извините|простите|к сожалению|обратитесь|consult[ae]z?|hubungi)\b"
 )
 
 
+#: Openings of an apology or a machine's reserve, in plain form.
+_OPENING = re.compile(
+    r"(?:thua (?:ban|anh|chi|quy khach) |chao ban |da |vang )?(?:thanh that |that su |chung toi |toi |minh |em )?(?:rat )?(?:xin loi|tiec|lay lam tiec|la mot (?:he thong|tro ly|mo hinh|ai|chatbot)|voi (?:vai tro|tu cach) (?:\w+ )?(?:tro ly|he thong|ai)|vi ly do (?:an toan|bao mat|chinh sach))\b"
+    r"|(?:i m |i am |we are )?(?:very |so |truly |deeply )?(?:sorry|unfortunately|apologies|as an ai)\b|(?:je suis )?desole|malheureusement|lo siento|lamentablemente|maaf|mohon maaf|es tut mir leid|leider|к сожалению|извините|простите"
+)
+_DENIAL = re.compile(r"\b(?:khong|chua|chang|kho|ngoai|dung|bo qua|tu choi|can t|cannot|not|unable|no|pas|ne|tidak|belum|nicht|kein|не|нет|нельзя)\b")
+#: An answer that opens like this, denies something, names no number and is not longer is a refusal.
+APOLOGY_WORDS = 60
+
+
 def is_refusal(body: str) -> bool:
-    """A refusing sentence, and at most REFUSAL_REST words in sentences of another kind."""
+    """A refusing sentence with at most REFUSAL_REST words in sentences of another kind, or a short apology."""
+    whole = plain(body)
+    if _OPENING.match(whole) and _DENIAL.search(whole) and len(whole.split()) <= APOLOGY_WORDS and not any(c.isdigit() for c in whole):
+        return True
     refused, rest = bool(_REFUSALS_OTHER.search(body)), 0
-    if not refused and not _REFUSALS.search(plain(body)):
+    if not refused and not _REFUSALS.search(whole):
         return False
     for sentence in re.split(r"(?<=[.!?。！？])\s+|\n+", body):
         words = plain(sentence)
