@@ -29,11 +29,13 @@ from .forms import consistent_form
 
 #: Marks and notices that may follow a cut (fixed values).
 NOTICES = (
-    r"\[(?:\.\.\.|…)\]", "…", r"\.\.\.(?=\s*$)", r"\x{FFFD}", r"</?[a-z]+\s*/?>", "```[a-z]*", r"\"\}+", r"[>}\]](?=\s*$)(?<![\w.)]\])",
+    r"\[(?:\.\.\.|…)\]", "…", r"(?<!\.)\.\.\.(?=\s*\z)", r"\x{FFFD}", r"</?[a-z]+\s*/?>", "```[a-z]*", r"\"\}+",
     r"\((?:còn nữa|còn tiếp|hết trang|tiếp theo|xem tiếp|còn|hết|bị cắt|cắt bớt|lược bớt|continued|truncated|to be continued|cont\.?|more)[^()\n]{0,20}\)",
     r"\[(?:còn nữa|còn tiếp|hết trang|tiếp theo|xem tiếp|bị cắt|cắt bớt|lược bớt|continued|truncated|more)[^\[\]\n]{0,20}\]",
+    r"(?:^|[\n….\s])[ \t]*(?:(?:tải|nhấn|bấm|đăng nhập|đăng ký|mời|vui lòng|click|download|log in|sign in)[^\n.!?]{0,40}[ \t])?(?:để[ \t]|to[ \t])?(?:đọc tiếp|xem tiếp|đọc thêm|xem thêm|xem toàn bộ|xem đầy đủ|xem bản đầy đủ|read more|see more|show more|continue reading)[.!\s]*\z",
+    r"\n[ \t]*[-–—_*=~]{2,}[ \t]*(?=\s*\z)",
 )
-NOTICE = r"(?is)(?:\s+|" + "|".join(NOTICES[:6] + NOTICES[6:7] + NOTICES[8:]) + r")+\z"
+NOTICE = r"(?isu)(?:\s+|" + "|".join(NOTICES) + r")+\z"
 #: What counts as a token of the statistics; numbers keep their separators.
 TOKEN = r"\d+(?:[.,/:-]\d+)*(?![\p{L}\p{N}])|[\p{L}\p{N}]+"
 #: A trigram is judged itself from this many sightings in other texts on, else by its shape.
@@ -145,6 +147,7 @@ select doc_id, source, line, kind, open_rate, closed_rate, w_seen, s_seen,
   case when broken then 'character'
        when line rlike '^(?:[•*·▪◦►+–-]|[(]?[0-9]{1,3}[.)]|[a-zđ][)])$' or line rlike '(?:[.;:] +)(?:[0-9]{1,2}[.)]|[a-zđ][)])$'
             or line rlike '(?iu)(?:^|[.;] +)(?:điều|khoản|chương|mục|article|clause|section) [0-9]+[.:)]?$' then 'list mark'
+       when line rlike 'https?://[^ .]*$' then 'link'
        when line rlike '(?:https?://|www[.])[^ ]+$' then null
        when line rlike '[(][^()]*$' then 'bracket'
        when line rlike '[.]{3,}$|_{2,}$' then null
@@ -177,10 +180,12 @@ def cut_texts(docs: DataFrame, rarely: float = RARELY) -> DataFrame:
     """
     spark = docs.sparkSession
     form = docs.where("text is not null").select("doc_id", "source", consistent_form(F.col("text")).alias("form"))
-    body = F.regexp_replace("form", NOTICE, "")
+    body = F.col("form")
+    for _ in range(3):  # a notice may stand behind a rule or another mark
+        body = F.regexp_replace(body, NOTICE, "")
     broken = F.col("form").rlike(r"\x{FFFD}\W*\z")
     # what is left behind a stripped notice keeps its own last mark; a form of notices only counts as blank
-    bodies = form.select("doc_id", "source", F.xxhash64("form").alias("text_key"), broken.alias("broken"), body.alias("body")).where(F.trim("body") != "")
+    bodies = form.select("doc_id", "source", F.xxhash64(body).alias("text_key"), broken.alias("broken"), body.alias("body")).where(F.trim("body") != "")
     bodies = stored(bodies)
     # only the repeated texts need a shuffle by document: which copies do not count
     first = bodies.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", "first")

@@ -139,3 +139,12 @@ def test_p10_queries(spark, small):
     assert len(found) == len({r["doc_id"] for r in found}) > 0
     rates = cutoff.p10_rates(spark, small).collect()
     assert sum(r["n_cut"] for r in rates) == len(found)
+
+
+def test_notices_behind_a_cut(spark):
+    head = "Cơ quan nhận đủ hồ sơ thì cấp phiếu hẹn. Người nộp phải tr"
+    notices = ["…", "...", " [...]", "\n(Hết trang)", " (còn nữa)", "</p>", "<br/>", '"}', "… Xem thêm", "\n--\nTải về để đọc tiếp.", "\n(Hết trang)\n"]
+    got = cuts(spark, [head + n for n in notices])
+    assert all(got.values()) and len(got) == len(notices), got
+    whole = cuts(spark, ["Cơ quan nhận đủ hồ sơ thì cấp phiếu hẹn. Kết quả gửi về tận nơi." + n for n in notices] + ["Phiếu hẹn. Mẫu: .........."])
+    assert not any(whole.values()), whole
