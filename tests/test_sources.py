@@ -104,7 +104,7 @@ def test_submission_rules(spark, rows):
     data = S.to_json([("007", "a"), ("2", "b")])
     assert S.check_json(data, ids) == [] and S.check_zip(S.to_zip(data), ids) == [] and S.to_zip(data) == S.to_zip(data)
     assert S.check_json(S.to_json([("2", "b"), ("007", "a")]), ids) == [("INVALID_QUESTION_ID", "2")]
-    bad = b'{"007": {"answer": 1}, "2": {"x": 1}, "3": [], "2": {"answer": "b"}}'
+    bad = b'{"007": {"answer": 1}, "2": {"x": 1}, "3": [], "3": []}'
     assert {c for c, _ in S.check_json(bad, ids)} == {"DUPLICATE_QUESTION_ID", "EXTRA_QUESTION_ID", "ANSWER_NOT_STRING", "MISSING_ANSWER", "VALUE_NOT_OBJECT"}
     assert S.check_json(b"\xff", ids) == [("INVALID_UTF8", "")] and S.check_json(b"[]", ids) == [("TOP_LEVEL_NOT_OBJECT", "")] and S.check_zip(b"x", ids) == [("ZIP_INVALID", "")]
 
