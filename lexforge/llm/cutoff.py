@@ -36,6 +36,8 @@ NOTICES = (
     r"\n[ \t]*[-–—_*=~]{2,}[ \t]*(?=\s*\z)",
 )
 NOTICE = r"(?isu)(?:\s+|" + "|".join(NOTICES) + r")+\z"
+#: Longest tail that may be notices, in characters.
+TAIL = 240
 #: What counts as a token of the statistics; numbers keep their separators.
 TOKEN = r"\d+(?:[.,/:-]\d+)*(?![\p{L}\p{N}])|[\p{L}\p{N}]+"
 #: A trigram is judged itself from this many sightings in other texts on, else by its shape.
@@ -180,13 +182,15 @@ def cut_texts(docs: DataFrame, rarely: float = RARELY) -> DataFrame:
     """
     spark = docs.sparkSession
     form = docs.where("text is not null").select("doc_id", "source", consistent_form(F.col("text")).alias("form"))
-    body = F.col("form")
+    # notices are short: only the tail is searched; what stands before it is kept as it is
+    tail = F.right("form", F.lit(TAIL))
     for _ in range(3):  # a notice may stand behind a rule or another mark
-        body = F.regexp_replace(body, NOTICE, "")
-    broken = F.col("form").rlike(r"\x{FFFD}\W*\z")
+        tail = F.regexp_replace(tail, NOTICE, "")
+    head = F.left("form", F.greatest(F.length("form") - TAIL, F.lit(0)))
+    broken = F.right("form", F.lit(TAIL)).rlike(r"\x{FFFD}\W*\z")
+    bodies = form.select("doc_id", "source", broken.alias("broken"), F.concat(head, tail).alias("body"))
     # what is left behind a stripped notice keeps its own last mark; a form of notices only counts as blank
-    bodies = form.select("doc_id", "source", F.xxhash64(body).alias("text_key"), broken.alias("broken"), body.alias("body")).where(F.trim("body") != "")
-    bodies = stored(bodies)
+    bodies = stored(bodies).where(F.trim("body") != "").withColumn("text_key", F.xxhash64("body"))
     # only the repeated texts need a shuffle by document: which copies do not count
     first = bodies.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", "first")
     copies = stored(bodies.select("doc_id", "text_key").join(first, "text_key").where("doc_id <> first").select("doc_id", F.lit(False).alias("first_copy")))
