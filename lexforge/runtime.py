@@ -47,6 +47,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by the keys into the session's number of shuffle partitions.
+
+    For groups that Python works on: their cost is not their size in bytes, by which
+    adaptive execution would put many of them into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marks ``df`` for broadcast if its counted size allows it; otherwise it stays a shuffled side."""
     return F.broadcast(df) if rows * max(1, len(df.columns)) <= BROADCAST_CELLS else df
