@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest side, in rows times columns, that may be broadcast by ``small``.
 BROADCAST_CELLS = 400_000
@@ -56,6 +59,30 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def fold(df: DataFrame, key: str, order: list[str], run: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """Order-dependent work per key: ``run`` gets the rows of one key, sorted, and returns rows of ``schema``.
+
+    Keys are spread over the partitions and sorted there, so a task streams through its keys
+    in Arrow batches; only one key's rows are held at a time.
+    """
+    at, names = df.columns.index(key), [f.name for f in StructType.fromDDL(schema).fields]
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list = []
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False):
+                if rows and row[at] != rows[0][at]:
+                    out.extend(run(rows))
+                    rows = []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if rows:
+            yield pd.DataFrame(run(rows), columns=names, dtype=object)
+
+    return spread(df, key).sortWithinPartitions(key, *order).mapInPandas(apply, schema)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marks ``df`` for broadcast if its counted size allows it; otherwise it stays a shuffled side."""
     return F.broadcast(df) if rows * max(1, len(df.columns)) <= BROADCAST_CELLS else df
