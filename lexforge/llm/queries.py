@@ -34,4 +34,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL says on whole tables; the rest is tested against brute force or a library."""
+    return {
+        "p2_found": """
+with l as (select field, max_size from split_limits)
+select distinct 'document' kind, id from legal_documents, l where field = 'legal_documents.passage' and length(passage) > max_size
+union
+select distinct 'chunk' kind, chunk_id id from legal_chunks, l where field = 'legal_chunks.raw_text' and length(raw_text) > max_size
+""",
+        "p5_found": """
+with t as (select distinct chunk_id, u.term term, u.tf tf from (select chunk_id, unnest(term_frequencies) u from indexed_documents) x)
+select distinct chunk_id, term from t where tf >= 3 and term in (select term from t group by term having count(distinct chunk_id) <= 3)
+""",
+    }
