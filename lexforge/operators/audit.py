@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_key, legal_tokens, squeeze, strip
-from ..runtime import blocks
+from ..runtime import blocks, stored
 
 SPLITS = ("train", "warmup", "public", "private")
 LOW_OVERLAP, PROMPT_EXTRA = 0.05, 32
 #: Most bytes of needles searched at once by ``contained``.
 NEEDLE_BYTES = 4 << 20
+#: Most bytes of needles broadcast at once by ``holders``; the longest hashed prefix; bits of its table.
+HOLDER_BYTES, LONGEST_PREFIX, TABLE_BITS = 64 << 20, 64, 22
 
 
 def length_stats(df: DataFrame, value: Column, *by: str) -> DataFrame:
@@ -117,6 +122,104 @@ def contained(needles: DataFrame, texts: DataFrame, least_chars: int = 1) -> Dat
     return reduce(DataFrame.union, found).join(needles, "needle").select("needle_id", "text_id").distinct()
 
 
+def _window_hashes(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hashes of all windows of that width along the last axis) for the widths 1, 2, 4 up to the longest prefix."""
+    width, h = 1, codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    while True:
+        yield width, h
+        if width == LONGEST_PREFIX or h.shape[-1] <= width:
+            return
+        h = h[..., :-width] * np.uint64(0xBF58476D1CE4E5B9) + h[..., width:]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        width *= 2
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+class Needles:
+    """Literal search: a needle is found by the hash of its longest prefix of 1, 2, 4 ... characters, then compared."""
+
+    def __init__(self, needles: list[str]):
+        self.by_width: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, str]]]]] = {}
+        groups: dict[int, list[tuple[int, str]]] = {}
+        for n, needle in enumerate(needles):
+            groups.setdefault(min(1 << len(needle).bit_length() - 1, LONGEST_PREFIX), []).append((n, needle))
+        for width, group in groups.items():
+            prefixes = _codes("".join(needle[:width] for _, needle in group)).reshape(-1, width)
+            *_, (_, h) = _window_hashes(prefixes)
+            table, of = np.zeros(1 << TABLE_BITS, dtype=bool), {}
+            table[h[:, 0] >> np.uint64(64 - TABLE_BITS)] = True
+            for key, numbered in zip(h[:, 0].tolist(), group):
+                of.setdefault(key, []).append(numbered)
+            self.by_width[width] = table, of
+
+    def search(self, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """Distinct (text number, needle number); a hit lies within one text."""
+        joined = "".join(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        found: set[tuple[int, int]] = set()
+        for width, h in _window_hashes(_codes(joined)):
+            if width not in self.by_width:
+                continue
+            table, of = self.by_width[width]
+            at = np.flatnonzero(table[h >> np.uint64(64 - TABLE_BITS)])
+            rows = np.searchsorted(ends, at, side="right")
+            for i, row, key in zip(at.tolist(), rows.tolist(), h[at].tolist()):
+                for n, needle in of.get(key, ()):
+                    if joined.startswith(needle, i) and i + len(needle) <= ends[row]:
+                        found.add((row, n))
+        return iter(found)
+
+
+def holders(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text_id, n_in_text, n_in_fields): every text (text_id, text, fields) that holds a non-blank needle (needle) literally.
+
+    Counts distinct needles that stand in the text, and in any of the fields (array of
+    strings).  Needles are broadcast in blocks of bounded bytes, each searched in every
+    row in time linear in the texts; only rows with hits are shuffled.
+    """
+    spark = needles.sparkSession
+    strings = stored(needles.where(F.col("needle").rlike(r"(?U)[^\s]")).select("needle").distinct())
+    total = strings.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    n = blocks(total, HOLDER_BYTES / 2)
+    texts = stored(texts.select("text_id", "text", "fields")) if n > 1 else texts.select("text_id", "text", "fields")
+    found = []
+    for part in range(n):
+        block = strings.where(F.pmod(F.xxhash64("needle"), F.lit(n)) == part).toPandas()["needle"].tolist()
+        shared = spark.sparkContext.broadcast(block)
+        kind = texts.schema["text_id"].dataType.simpleString()
+        found.append(texts.mapInArrow(_holder(shared), f"text_id {kind}, n_in_text bigint, n_in_fields bigint"))
+    return reduce(DataFrame.union, found).groupBy("text_id").agg(F.sum("n_in_text").alias("n_in_text"), F.sum("n_in_fields").alias("n_in_fields"))
+
+
+def _holder(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = None
+        for batch in batches:
+            search = search or Needles(shared.value).search
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            counts = np.zeros((len(texts), 2), dtype=np.int64)
+            for row, _ in search(texts):
+                counts[row, 0] += 1
+            fields = [(row, f) for row, fs in enumerate(batch.column(2).to_pylist()) for f in fs or () if f]
+            distinct = {f: k for k, f in enumerate(dict.fromkeys(f for _, f in fields))}
+            inside: dict[int, set[int]] = {}
+            for k, needle in search(list(distinct)):
+                inside.setdefault(k, set()).add(needle)
+            held: dict[int, set[int]] = {}
+            for row, f in fields:
+                if distinct[f] in inside:
+                    held.setdefault(row, set()).update(inside[distinct[f]])
+            for row, needles in held.items():
+                counts[row, 1] = len(needles)
+            rows = np.flatnonzero(counts.any(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(counts[rows, 0]), pa.array(counts[rows, 1])], names=["text_id", "n_in_text", "n_in_fields"])
+
+    return run
+
+
 def token_overlap(answer: Column, evidence: Column) -> Column:
     """Part of the answer's distinct legal tokens that the evidence holds; null without tokens."""
     a = F.array_distinct(legal_tokens(answer))

@@ -503,12 +503,28 @@ def split_overlap(spark, d):
 
 @query(f"{T.ctes('q', 'c')}, g as (select id, answer from q where split <> 'train' and {not_blank('answer')} and length(answer) >= 60) select distinct g.id question_id, c.chunk_id from g join c on contains(c.retrieval_text, g.answer)")
 def gold_in_chunks(spark, d):
-    """Held-out answers of at least a sentence that stand literally in a chunk."""
+    """Held-out answers of at least a sentence that stand literally in a chunk; ``gold_leaks`` is the whole audit."""
     g = T.questions(spark, d).where("split <> 'train'").select(F.col("id").alias("needle_id"), F.col("answer").alias("needle"))
     c = T.chunks(spark, d).select(F.col("chunk_id").alias("text_id"), F.col("retrieval_text").alias("text"))
     return audit.contained(g, stored(c), 60).select(F.col("needle_id").alias("question_id"), F.col("text_id").alias("chunk_id"))
 
 
+@query(
+    f"{T.ctes('q', 'c')}, g as (select distinct answer from q where {not_blank('answer')}), x as (select chunk_id, coalesce(contains(retrieval_text, answer), false) t, contains(chunk_id, answer) or coalesce(contains(document_id, answer), false) "
+    "or coalesce(contains(source_path, answer), false) or coalesce(contains(source_member, answer), false) or coalesce(contains(section_label, answer), false) f from c, g) "
+    "select chunk_id, count(*) filter (t)::bigint n_in_text, count(*) filter (f)::bigint n_in_fields from x where t or f group by 1"
+)
+def gold_leaks(spark, d):
+    """Chunks that hold any answer of any split literally: one row per failing chunk, with its numbers of distinct answers.
+
+    The string fields are searched beside the text, as the index exposes both.
+    """
+    g = T.questions(spark, d).select(F.col("answer").alias("needle"))
+    fields = F.array("chunk_id", "document_id", "source_path", "source_member", "section_label")
+    c = T.chunks(spark, d).select(F.col("chunk_id").alias("text_id"), F.col("retrieval_text").alias("text"), fields.alias("fields"))
+    return audit.holders(g, c).withColumnRenamed("text_id", "chunk_id")
+
+
 _SUPPORT = f"""{T.ctes('q', 'h', 'c')}, f as (select h.id || '|' || method id, q.answer, c.retrieval_text ev from h join c using (chunk_id) join q on q.id = h.id where rank = 1 and q.answer is not null),
 o as (select id, {legal('answer')} a, {legal('ev')} e, answer, ev from f)"""
 

@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexforge import runtime, schemas
 from lexforge.operators import audit, prompting
+from lexforge.plans import catalogue
 
 
 def test_latest_counts_redeliveries_once(spark, rows):
@@ -37,6 +39,28 @@ def test_contained_in_blocks(spark, rows, monkeypatch):
     assert rows(audit.contained(needles, texts)) == [("n1", "t1"), ("n1", "t2"), ("n2", "t1"), ("n2", "t2"), ("n3", "t2")]
 
 
+def test_holders_find_every_needle(spark, rows, monkeypatch):
+    rng = random.Random(3)
+    word = lambda least, most: "".join(rng.choice("abđ𝒳 ") for _ in range(rng.randint(least, most)))
+    needles = list({*(word(1, 7) for _ in range(30)), "Có.", "-", " ", None, "\xa0", "", "đ" * 64, "đ" * 130})
+    texts = [(f"t{i}", word(0, 60), [word(0, 4), None]) for i in range(40)] + [("long", "x" + "đ" * 129, ["a-1"]), ("yes", "Có.", []), ("null", None, None)]
+    given = [n for n in needles if n and n.strip()]
+    expected = sorted((i, a, b) for i, t, f in texts if (a := sum(n in (t or "") for n in given)) + (b := sum(any(n in x for x in f or () if x) for n in given)))
+    n, t = spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(texts, "text_id string, text string, fields array<string>")
+    for size in (audit.HOLDER_BYTES, 64):  # one block and several
+        monkeypatch.setattr(audit, "HOLDER_BYTES", size)
+        assert rows(audit.holders(n, t)) == expected
+    assert audit.holders(n.limit(0), t).count() == 0 and audit.holders(n, t.limit(0)).count() == 0
+
+
+def test_gold_leaks_have_short_and_train_answers(spark, tmp_path):
+    spark.createDataFrame([("1", "q", "Có.", "train", "s", "2031-01-01"), ("2", "q", "5 giờ", "public", "s", "2031-01-01")], "id string, question string, answer string, split string, source string, received_at string").write.parquet(f"{tmp_path}/legal_questions.parquet")
+    chunks = [("c1", "trả lời: Có."), ("c2", "sau 5 giờ"), ("c3", "không")]
+    spark.createDataFrame([(c, "d", "p", None, None, t, t) for c, t in chunks], "chunk_id string, document_id string, source_path string, source_member string, section_label string, raw_text string, retrieval_text string").write.parquet(f"{tmp_path}/legal_chunks.parquet")
+    assert {tuple(r) for r in catalogue.gold_leaks(spark, str(tmp_path)).collect()} == {("c1", 1, 0), ("c2", 1, 0)}
+    assert catalogue.gold_in_chunks(spark, str(tmp_path)).count() == 0
+
+
 def test_schema_rules(spark, rows):
     c = spark.createDataFrame([("c", "d", " ", "t", 5, 5), (None, "d", "r", "t", 1, None)], "chunk_id string, document_id string, raw_text string, retrieval_text string, start_offset int, end_offset int")
     assert rows(schemas.violations(c, "document_id", schemas.chunk_rules())) == [("d", "chunk_id_blank"), ("d", "offsets_not_ascending"), ("d", "one_offset_missing"), ("d", "raw_text_blank")]
