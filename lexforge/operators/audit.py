@@ -226,6 +226,18 @@ def token_overlap(answer: Column, evidence: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, legal_tokens(evidence))) / F.size(a))
 
 
+def case_support(cases: DataFrame) -> DataFrame:
+    """(id, exact, normal, overlap) of the whole evidence and the flags of its first texts: cases (id, answer, evidence, top1, top3).
+
+    Flags are null for empty answers, the overlap also for empty evidence; an answer
+    without tokens overlaps with nothing.
+    """
+    given = F.col("answer") != ""
+    flags = {f"{at}{name}": F.when(given, holds(F.col(text), F.col("answer"))) for at, text in (("", "evidence"), ("top1_", "top1"), ("top3_", "top3")) for name, holds in (("exact", contains_text), ("normal", contains_normal))}
+    overlap = F.when(given & (F.col("evidence") != ""), F.coalesce(token_overlap(F.col("answer"), F.col("evidence")), F.lit(0.0)))
+    return cases.select("id", *[c.alias(name) for name, c in flags.items()], overlap.alias("overlap"))
+
+
 def fit_status(question: Column, answer: Column, prompt: Column, max_tokens: int = 4096) -> Column:
     """Whether question and answer, then prompt and answer, stay within the token limit."""
     n = lambda c: F.size(legal_tokens(F.coalesce(c, F.lit(""))))

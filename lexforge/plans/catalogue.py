@@ -531,12 +531,29 @@ o as (select id, {legal('answer')} a, {legal('ev')} e, answer, ev from f)"""
 
 @query(f"{_SUPPORT} select id, coalesce(contains(ev, answer) and {not_blank('answer')}, false) exact, case when len(a) > 0 then round(len(list_intersect(list_distinct(a), e)) / len(list_distinct(a)), 6) end overlap from o")
 def answer_support(spark, d):
+    """Support by the first hit alone; ``evidence_support`` measures the packed evidence."""
     q = T.questions(spark, d).where("answer is not null").select(F.col("id").alias("qid"), "answer")
     c = T.chunks(spark, d).select("chunk_id", F.col("retrieval_text").alias("ev"))
     rows = _runs(spark, d).where("rank = 1").join(c, "chunk_id").withColumn("qid", F.split("id", r"\|")[0]).join(q, "qid")
     return rows.select("id", audit.contains_text(F.col("ev"), F.col("answer")).alias("exact"), F.round(audit.token_overlap(F.col("answer"), F.col("ev")), 6).alias("overlap"))
 
 
+@query()
+def evidence_support(spark, d):
+    """Support of every answer by the rendered packed evidence of its question and method; beside it by the first one and three included chunks.
+
+    Runs of which nothing was packed have empty evidence; empty answers have no flags.
+    """
+    packed = stored(_packed(spark, d))
+    raw = T.chunks(spark, d).select("chunk_id", "raw_text")
+    first = packed.where("position <= 3").select("id", "chunk_id", "position").join(raw, "chunk_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", "raw_text"))).alias("first"))
+    runs = _runs(spark, d).select("id").distinct().withColumn("qid", F.split("id", r"\|")[0])
+    q = T.questions(spark, d).where("answer is not null").select(F.col("id").alias("qid"), "answer")
+    cases = runs.join(q, "qid").join(evidence.render(packed).select("id", "evidence"), "id", "left").join(first, "id", "left")
+    upto = lambda n: F.coalesce(F.array_join(F.transform(F.slice("first", 1, n), lambda x: x["raw_text"]), "\n"), F.lit(""))
+    return audit.case_support(cases.select("id", "answer", F.coalesce("evidence", F.lit("")).alias("evidence"), upto(1).alias("top1"), upto(3).alias("top3"))).withColumn("overlap", F.round("overlap", 6))
+
+
 @query(
     f"{T.ctes('q')}, t as (select id, answer, len({legal('question')}) nq, len({legal(chr(99) + 'oalesce(answer, ' + chr(39) * 2 + ')')}) na, len({legal('replace(' + _quote(DIRECT.text) + ', ' + chr(39) + '{question}' + chr(39) + ', question)')}) np from q where question is not null) "
     f"select id, case when answer is null or not {not_blank('answer')} then 'no_target' when nq + na + 32 > 160 then 'TARGET_DOES_NOT_FIT' when np + na <= 160 then 'fits' else 'evidence_truncated_needed' end fit from t"

@@ -61,6 +61,28 @@ def test_gold_leaks_have_short_and_train_answers(spark, tmp_path):
     assert catalogue.gold_in_chunks(spark, str(tmp_path)).count() == 0
 
 
+def test_case_support(spark):
+    rows = [("1", "b c", "a\nb c", "a", "a\nb c"), ("2", "B  c", "a b c", "a b c", "a b c"), ("3", "", "a", "a", "a"), ("4", "a", "", "", ""), ("5", " ", "a b", "a", "a"), ("6", "a x", "a", "a", "a")]
+    got = {r["id"]: r for r in audit.case_support(spark.createDataFrame(rows, "id string, answer string, evidence string, top1 string, top3 string")).collect()}
+    assert [got["1"][c] for c in ("exact", "top1_exact", "top3_exact", "overlap")] == [True, False, True, 1.0]
+    assert [got["2"][c] for c in ("exact", "normal", "top1_normal")] == [False, True, True]
+    assert set(got["3"][1:]) == {None} and got["4"]["exact"] is False and got["4"]["overlap"] is None
+    assert got["5"]["exact"] is False and got["5"]["overlap"] == 0.0 and got["6"]["overlap"] == 0.5
+
+
+def test_evidence_support_is_of_the_packed_evidence(spark, tmp_path):
+    chunks = [(f"c{i}", f"d{i}", "p", None, None, t, t) for i, t in enumerate(["một hai", "ba bốn", "năm sáu", "bảy tám"])]
+    path = str(tmp_path)
+    spark.createDataFrame([("1", "q", "bảy tám", "train", "s", "2031"), ("2", "q", "năm", "train", "s", "2031")], "id string, question string, answer string, split string, source string, received_at string").write.parquet(f"{path}/legal_questions.parquet")
+    spark.createDataFrame(chunks, "chunk_id string, document_id string, source_path string, source_member string, section_label string, raw_text string, retrieval_text string").write.parquet(f"{path}/legal_chunks.parquet")
+    spark.createDataFrame([(f"d{i}", "n", "x", "p", None, "h", "l", "2031", None) for i in range(4)], "id string, name string, passage string, source_path string, source_member string, content_hash string, link string, received_at string, created_at string").write.parquet(f"{path}/legal_documents.parquet")
+    hits = [(q, "m", f"c{i}", f"d{i}", "p", i + 1, 1.0, None, "2031", None) for q in "12" for i in range(4)]
+    spark.createDataFrame(hits, "id string, method string, chunk_id string, document_id string, source_path string, rank int, bm25_score double, rerank_score double, received_at string, created_at string").write.parquet(f"{path}/retrieval_hits.parquet")
+    got = {r["id"]: (r["exact"], r["top1_exact"], r["top3_exact"], r["overlap"]) for r in catalogue.evidence_support(spark, path).collect()}
+    assert got == {"1|m": (True, False, False, 1.0), "2|m": (True, False, True, 1.0)}
+    assert {r["id"]: r["exact"] for r in catalogue.answer_support(spark, path).collect()} == {"1|m": False, "2|m": False}
+
+
 def test_schema_rules(spark, rows):
     c = spark.createDataFrame([("c", "d", " ", "t", 5, 5), (None, "d", "r", "t", 1, None)], "chunk_id string, document_id string, raw_text string, retrieval_text string, start_offset int, end_offset int")
     assert rows(schemas.violations(c, "document_id", schemas.chunk_rules())) == [("d", "chunk_id_blank"), ("d", "offsets_not_ascending"), ("d", "one_offset_missing"), ("d", "raw_text_blank")]
