@@ -5,7 +5,8 @@ in a bounded number of elements once their sizes lie in the same band, so the sh
 domain is partitioned by hash into n1 parts of n2 subparts each, and the content of every
 choice of n2 - k2 subparts of a part is a signature: similar sets agree on some of them.
 Every set makes signatures for its own size band and for the next one, so that partners of
-neighbouring bands meet.  Signatures of few shingles are left out, being no evidence;
+neighbouring bands meet; each band is partitioned by its largest and by its least set, as
+sets of different size meet at the small end.  Signatures of few shingles are left out, being no evidence;
 small sets use their least shingles (a prefix filter, which is exact) instead.
 Candidates are compared exactly.  See the README for the measured recall.
 """
@@ -35,6 +36,8 @@ SMALL = 48
 LEAST_CONTENT = 5
 #: Smaller sets are partitioned several times over, until they have about so many signatures.
 SIGNATURES = 400
+#: The same for partitions by the least set of a band, where one-sided edits of its small sets meet.
+LOW_SIGNATURES = 800
 _WORDS = re.compile(r"[^\W_]+").findall
 _CHOICES = np.array([[i in c for i in range(N2)] for c in combinations(range(N2), N2 - K2)], dtype=bool)
 
@@ -62,6 +65,24 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _turn(s: np.ndarray, n1: int, tag: np.uint64, turn: np.uint64) -> np.ndarray:
+    """Signatures of one partition into n1 parts."""
+    salt = tag + turn
+    mixed = _scramble(s + turn)
+    cell = (mixed % np.uint64(n1 * N2)).astype(np.int64)
+    content = np.zeros(n1 * N2, dtype=np.uint64)
+    np.add.at(content, cell, _scramble(mixed + salt))
+    count = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
+    content = content.reshape(n1, N2)
+    out = []
+    for number, chosen in enumerate(_CHOICES):
+        total = content[:, chosen].sum(axis=1, dtype=np.uint64)
+        enough = count[:, chosen].sum(axis=1) >= LEAST_CONTENT
+        place = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(number)
+        out.append(_scramble(total + _scramble(place + salt))[enough])
+    return np.concatenate(out)
+
+
 def signatures(s: np.ndarray, t: float) -> np.ndarray:
     """Signatures (uint64) of a set, over the instances of its band and the next."""
     if not len(s):
@@ -74,20 +95,10 @@ def signatures(s: np.ndarray, t: float) -> np.ndarray:
             prefix = len(s) - math.ceil(t * len(s) - 1e-9) + 1
             out.append(_scramble(s[:prefix] + tag))
             continue
-        n1 = max(2, round(largest / PART))
-        for turn in range(max(1, round(SIGNATURES / (n1 * len(_CHOICES))))):
-            salt = tag + np.uint64(turn)
-            mixed = _scramble(s + np.uint64(turn))
-            cell = (mixed % np.uint64(n1 * N2)).astype(np.int64)
-            content = np.zeros(n1 * N2, dtype=np.uint64)
-            np.add.at(content, cell, _scramble(mixed + salt))
-            count = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
-            content = content.reshape(n1, N2)
-            for number, chosen in enumerate(_CHOICES):
-                total = content[:, chosen].sum(axis=1, dtype=np.uint64)
-                enough = count[:, chosen].sum(axis=1) >= LEAST_CONTENT
-                place = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(number)
-                out.append(_scramble(total + _scramble(place + salt))[enough])
+        for end, (size, wanted) in enumerate(((largest, SIGNATURES), (t * largest, LOW_SIGNATURES))):
+            n1 = max(2, round(size / PART))
+            for turn in range(max(1, round(wanted / (n1 * len(_CHOICES))))):
+                out.append(_turn(s, n1, tag, np.uint64(turn + end * 4096)))
     return np.concatenate(out)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,6 +129,18 @@ def test_signatures_of_sets_near_the_threshold_meet(words):
     assert missed == 0
 
 
+@pytest.mark.parametrize("large, part", [(60, 36), (66, 40), (100, 60)])
+def test_signatures_of_one_sided_edits_meet(large, part):
+    """Recall for text that was appended or removed: the sets differ in size and meet in one band only."""
+    rng = np.random.default_rng(large)
+    missed = 0
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, large, dtype=np.uint64))
+        b = np.sort(rng.choice(a, part, replace=False))
+        missed += not set(nearcopy.signatures(a, 0.6).tolist()) & set(nearcopy.signatures(b, 0.6).tolist())
+    assert missed == 0
+
+
 def test_near_copies_edge_cases(spark, rows):
     text = " ".join(f"chữ{i}" for i in range(80))
     items = spark.createDataFrame(
