@@ -55,8 +55,9 @@ def prefix_sizes(text: str, unit: str) -> np.ndarray:
 def pieces(text: str, max_size: int, overlap: int, unit: str = "chars", fill: float = 0.5) -> list[tuple[int, int, str]]:
     """(start, end, kind of cut) of each piece; one piece if the text fits.
 
-    A boundary counts if the piece keeps at least ``fill`` of the limit, and always ends
-    behind the overlap, so that every piece makes progress.
+    A boundary is preferred by kind if the piece keeps at least ``fill`` of the limit; else
+    the last boundary of any kind is taken, and without one the cut is hard.  A piece always
+    ends behind the overlap, so that every piece makes progress.
     """
     if not 0 <= overlap < max_size:
         raise ValueError("overlap must be at least 0 and below max_size")
@@ -72,6 +73,12 @@ def pieces(text: str, max_size: int, overlap: int, unit: str = "chars", fill: fl
             if i >= 0 and offsets[i] >= floor and offsets[i] > start:
                 end, kind = int(offsets[i]), name
                 break
+        else:  # the last boundary of any kind behind the overlap, before a hard cut
+            behind = int(np.searchsorted(total, total[start] + overlap + 1, side="left"))
+            for name, offsets in zip(KINDS, at):
+                i = int(np.searchsorted(offsets, limit, side="right")) - 1
+                if i >= 0 and offsets[i] >= behind and offsets[i] > start and (kind == "hard" or offsets[i] > end):
+                    end, kind = int(offsets[i]), name
         out.append((start, end, kind))
         back = int(np.searchsorted(total, total[end] - overlap, side="right")) - 1
         start = back if back > start else end

@@ -56,3 +56,10 @@ def test_operator_and_queries(spark, small, rows):
     assert rows(split.p2_found(spark, small)) == rows(over)
     p = split.p2_pieces(spark, small)
     assert p.where("length(text) > 1200").count() == 0
+
+
+def test_long_run_behind_an_early_boundary_stays_whole():
+    text = "a" * 199 + " " + "b" * 1100 + " " + "c" * 300
+    cuts = split.pieces(text, 1200, 50)
+    assert cuts[0][1] in (199, 200) and cuts[0][2] != "hard"
+    assert any("b" * 1100 in text[a:b] for a, b, _ in cuts)
