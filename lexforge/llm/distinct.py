@@ -22,8 +22,8 @@ from .encode import _Shared
 
 #: The background is broadcast up to this many terms and bytes, counted first; beyond, it is joined.
 BROADCAST_TERMS, BROADCAST_BYTES = 1_000_000, 32 << 20
-#: Weight of the record's own model; rounds end when no probability moves by more than TOLERANCE.
-OWN_WEIGHT, ROUNDS, TOLERANCE = 0.1, 60, 1e-5
+#: Weight of the record's own model; a record's rounds end when none of its probabilities moves by TOLERANCE or more.
+OWN_WEIGHT, TOLERANCE = 0.1, 1e-5
 
 SCHEMA = "chunk_id string, listed boolean, term string, tf int, df bigint, score double, place int"
 
@@ -37,14 +37,19 @@ def own_probabilities(record: np.ndarray, tf: np.ndarray, background: np.ndarray
     tf = tf.astype(np.float64)
     p = tf / np.repeat(np.add.reduceat(tf, first), each)
     other = (1 - weight) * background
-    for _ in range(ROUNDS):
-        e = tf * (weight * p / (weight * p + other))
-        new = e / np.repeat(np.add.reduceat(e, first), each)
-        moved = np.abs(new - p).max()
-        p = new
-        if moved < TOLERANCE:
-            break
-    return p
+    # a record that has converged is frozen, so its rounds don't depend on the others
+    out, active, at = p.copy(), np.ones(len(first), dtype=bool), np.arange(len(tf))
+    while active.any():
+        size = each[active]
+        start = np.cumsum(size) - size
+        e = tf[at] * (weight * p / (weight * p + other[at]))
+        new = e / np.repeat(np.add.reduceat(e, start), size)
+        still = np.maximum.reduceat(np.abs(new - p), start) >= TOLERANCE
+        out[at] = new
+        kept = np.repeat(still, size)
+        p, at = new[kept], at[kept]
+        active[active] = still
+    return out
 
 
 def _rows(ids: pa.Array, listed: pa.Array, record: np.ndarray, terms: pa.Array, order: np.ndarray, tf: np.ndarray, cf: np.ndarray, df: np.ndarray, total: float, least_tf: int, most_df: int | None) -> pa.RecordBatch:

@@ -148,3 +148,17 @@ def test_notices_behind_a_cut(spark):
     assert all(got.values()) and len(got) == len(notices), got
     whole = cuts(spark, ["Cơ quan nhận đủ hồ sơ thì cấp phiếu hẹn. Kết quả gửi về tận nơi." + n for n in notices] + ["Phiếu hẹn. Mẫu: .........."])
     assert not any(whole.values()), whole
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 40, 150, 400]
+    tf = [rng.integers(1, 30, n) for n in sizes]
+    background = [rng.random(n) / 1000 + 1e-7 for n in sizes]
+    record = np.repeat(np.arange(len(sizes)), sizes)
+    together = distinct.own_probabilities(record, np.concatenate(tf), np.concatenate(background))
+    alone = [distinct.own_probabilities(np.zeros(n, dtype=int), t, b) for n, t, b in zip(sizes, tf, background)]
+    assert together.tolist() == np.concatenate(alone).tolist()
+    for p, t, b in zip(alone, tf, background):  # another round moves nothing
+        e = t * 0.1 * p / (0.1 * p + 0.9 * b)
+        assert np.abs(e / e.sum() - p).max() < distinct.TOLERANCE
