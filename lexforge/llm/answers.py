@@ -42,12 +42,35 @@ _PLACEHOLDER = re.compile(
 
 
 _MARKS = re.compile("[\u0300-\u036f]+")
+#: Most words remembered per worker, with what was found out about them.
+WORDS_KEPT = 200_000
+
+
+class _ByWord(dict):
+    """What ``find`` says of a word, found out once: a corpus repeats its words."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str):
+        if len(self) >= WORDS_KEPT:  # memory stays bounded on any corpus
+            self.clear()
+        value = self[word] = self.find(word)
+        return value
+
+
+def _bare(token: str) -> str:
+    """The plain words of a run without blanks."""
+    return " ".join(_WORDS(_MARKS.sub("", unicodedata.normalize("NFD", token.lower().replace("đ", "d")))))
+
+
+_BARE = _ByWord(_bare)
 
 
 def plain(text: str) -> str:
     """Lower case without accents, words joined by single blanks."""
-    text = unicodedata.normalize("NFD", text.lower().replace("đ", "d"))
-    return " ".join(_WORDS(_MARKS.sub("", text)))
+    return " ".join([w for w in map(_BARE.__getitem__, text.split()) if w])
 
 
 def core(answer: str) -> str:
@@ -64,39 +87,53 @@ def is_empty(body: str) -> bool:
 
 # Refusals by their plain form; Vietnamese is matched without accents, so spelling with or without them is the same.
 _WHO = r"(?:toi|minh|em|chung toi|chung minh|he thong|tro ly|mo hinh|chatbot)"
-_REFUSALS = re.compile(
-    "|".join(
-        (
-            rf"\b{_WHO} (?:\w+ ){{0,3}}?(?:khong|chua|chang) (?:the|duoc phep|duoc|co the|du kha nang|co kha nang|the nao|dam|tien|biet|nam ro)\b(?: \w+){{0,4}} (?:tra loi|dua ra|tu van|binh luan|giai dap|ket luan|ho tro|giup|cung cap|dap ung|xu ly|thuc hien)",
-            rf"\b{_WHO} (?:\w+ ){{0,2}}?(?:xin phep|buoc phai|danh phai|xin|phai) (?:\w+ )?(?:khong|bo qua|tu choi|dung|mien)\b",
-            rf"\b{_WHO} (?:\w+ ){{0,2}}?(?:tu choi|bo tay|chiu)\b",
-            r"\bxin phep (?:khong|tu choi|duoc tu choi|bo qua)\b",
-            r"\b(?:khong|chua) (?:co )?du (?:thong tin|du lieu|can cu|ngu canh|co so|bang chung|tai lieu) (?:\w+ ){0,3}?(?:de|tra loi|ket luan)\b",
-            r"\b(?:khong|chua) tim (?:thay|duoc|ra) (?:\w+ ){0,2}?(?:can cu|thong tin|noi dung|cau tra loi|dap an|bang chung|quy dinh)\b(?: \w+){0,7} (?:tra loi|giai dap|cung cap|bang chung|ngu canh|tai lieu)",
-            r"\bngoai pham vi (?:ho tro|tra loi|tu van|kien thuc|cua toi|hieu biet|kha nang|xu ly)\b|\bpham vi du lieu\b.{0,40}\b(?:chua|khong) bao phu\b",
-            r"\bchu de nhay cam\b|\b(?:phan|cau|noi dung) (?:tra loi|giai dap) da bi (?:an|chan|go|xoa)\b|\bnoi dung (?:nay )?(?:khong phu hop|bi chan|vi pham chinh sach)\b",
-            r"\b(?:tai lieu|doan trich|ngu canh|bang chung|van ban|nguon)\b(?: \w+){0,4} khong (?:chua|co|de cap|neu|nhac)\b(?: \w+){0,9} (?:can thiet|giai dap|tra loi|ban can|ban hoi|cau hoi|yeu cau)\b",
-            r"\b(?:bo tay|em chiu|toi chiu|minh chiu)\b|\bkhong biet (?:tra loi|phai tra loi)\b",
-            r"\bnguoi co chuyen mon\b.{0,40}\bdung (?:o|tai) day\b|\bde trong phan (?:giai dap|tra loi)\b",
-            r"\bkhong duoc phep (?:tu van|tra loi|dua ra (?:y kien|loi khuyen|tu van)|binh luan|cung cap)\b",
-            r"\b(?:khong|chua) the (?:tra loi|giai dap|dua ra (?:cau tra loi|ket luan|y kien)|tu van|binh luan|ho tro (?:ban|yeu cau|cau hoi)|dap ung yeu cau)\b",
-            r"\bcau (?:hoi )?nay (?:\w+ )?(?:kho qua|qua kho)\b|\bthu hoi (?:noi|cho|nguoi) khac\b",
-            r"\bkhong thuoc (?:\w+ )?(?:chuc nang|pham vi|tham quyen|nhiem vu|trach nhiem|kha nang)\b(?: \w+){0,3} (?:kenh|toi|minh|he thong|chung toi|tro ly|tong dai|chuyen muc|ban tu van)\b",
-            r"\bvuot (?:qua |ngoai )?(?:kha nang|pham vi|tham quyen|quyen han|hieu biet)\b(?: \w+){0,3} (?:toi|minh|he thong|chung toi|tro ly|kenh)\b",
-            r"\b(?:khong|chua) co (?:thong tin|du lieu|cau tra loi|quyen tra loi|can cu|tham quyen tra loi)\b(?: \w+){0,4} (?:de|ve|cho|nao)\b(?: \w+){0,6} (?:cau hoi|tra loi|van de|noi dung|yeu cau)\b",
-            r"\b(?:mien|khong) binh luan\b|\btu choi (?:tra loi|giai dap|tu van|cau hoi)\b|\bkhong giup duoc\b|\bkhong tra loi (?:duoc|cau|noi dung|van de)\b|\bdung (?:tra loi|cuoc tro chuyen)\b",
-            r"\b(?:i|we) (?:\w+ )?(?:can t|cannot|can not|could not|couldn t|won t|will not|am unable|are unable|am not able|are not able|m unable|m not able|must decline|have to decline|decline|prefer not)\b",
-            r"\bas an? (?:ai|artificial|automated|language)\b.{0,40}\b(?:unable|cannot|can t|not able|not allowed|do not|don t)\b",
-            r"\b(?:i|we) (?:do not|don t|did not|didn t) (?:have|find|know|possess)\b.{0,30}\b(?:enough|sufficient|information|context|answer|data|evidence|access)\b",
-            r"\bunable to (?:answer|help|assist|provide|give|comply|respond)\b|\b(?:outside|beyond) (?:of )?(?:my|the|our) scope\b|\b(?:not|no) (?:enough|sufficient) (?:information|context|data|evidence)\b|\bcannot be answered\b|\bno answer can be given\b",
-            r"\bje (?:ne )?(?:peux|puis|suis) (?:malheureusement )?pas\b|\bje refuse\b|\bpas (?:assez|suffisamment) d (?:informations?|elements?)\b",
-            r"\b(?:no puedo|no podemos|no me es posible|no estoy autorizad[oa])\b|\bno (?:tengo|hay|dispongo de) suficiente",
-            r"\b(?:saya|kami) (?:\w+ )?(?:tidak (?:dapat|bisa|mampu|boleh)|belum (?:dapat|bisa))\b|\btidak (?:ada|memiliki) cukup\b",
-            r"\bich kann (?:\w+ ){0,4}?nicht\b|\bnao posso\b|\bnon posso\b|\bnie moge\b",
-            r"\b(?:не могу|не можем|не могла|не имею права|не в состоянии|вынужден[аы]? отказать|отказываюсь)\b|\bнедостаточно (?:данных|информации|сведении)\b",
-        )
-    )
+_WHO_HEADS = "toi minh em chung he tro mo chatbot"
+#: Each expression with the words it can begin with; it is tried where one of them stands.
+_REFUSALS = (
+    (_WHO_HEADS, rf"\b{_WHO} (?:\w+ ){{0,3}}?(?:khong|chua|chang) (?:the|duoc phep|duoc|co the|du kha nang|co kha nang|the nao|dam|tien|biet|nam ro)\b(?: \w+){{0,4}} (?:tra loi|dua ra|tu van|binh luan|giai dap|ket luan|ho tro|giup|cung cap|dap ung|xu ly|thuc hien)"),
+    (_WHO_HEADS, rf"\b{_WHO} (?:\w+ ){{0,2}}?(?:xin phep|buoc phai|danh phai|xin|phai) (?:\w+ )?(?:khong|bo qua|tu choi|dung|mien)\b"),
+    (_WHO_HEADS, rf"\b{_WHO} (?:\w+ ){{0,2}}?(?:tu choi|bo tay|chiu)\b"),
+    ("xin", r"\bxin phep (?:khong|tu choi|duoc tu choi|bo qua)\b"),
+    ("khong chua", r"\b(?:khong|chua) (?:co )?du (?:thong tin|du lieu|can cu|ngu canh|co so|bang chung|tai lieu) (?:\w+ ){0,3}?(?:de|tra loi|ket luan)\b"),
+    ("khong chua", r"\b(?:khong|chua) tim (?:thay|duoc|ra) (?:\w+ ){0,2}?(?:can cu|thong tin|noi dung|cau tra loi|dap an|bang chung|quy dinh)\b(?: \w+){0,7} (?:tra loi|giai dap|cung cap|bang chung|ngu canh|tai lieu)"),
+    ("ngoai pham", r"\bngoai pham vi (?:ho tro|tra loi|tu van|kien thuc|cua toi|hieu biet|kha nang|xu ly)\b|\bpham vi du lieu\b.{0,40}\b(?:chua|khong) bao phu\b"),
+    ("chu phan cau noi", r"\bchu de nhay cam\b|\b(?:phan|cau|noi dung) (?:tra loi|giai dap) da bi (?:an|chan|go|xoa)\b|\bnoi dung (?:nay )?(?:khong phu hop|bi chan|vi pham chinh sach)\b"),
+    ("tai doan ngu bang van nguon", r"\b(?:tai lieu|doan trich|ngu canh|bang chung|van ban|nguon)\b(?: \w+){0,4} khong (?:chua|co|de cap|neu|nhac)\b(?: \w+){0,9} (?:can thiet|giai dap|tra loi|ban can|ban hoi|cau hoi|yeu cau)\b"),
+    ("bo em toi minh khong", r"\b(?:bo tay|em chiu|toi chiu|minh chiu)\b|\bkhong biet (?:tra loi|phai tra loi)\b"),
+    ("nguoi de", r"\bnguoi co chuyen mon\b.{0,40}\bdung (?:o|tai) day\b|\bde trong phan (?:giai dap|tra loi)\b"),
+    ("khong", r"\bkhong duoc phep (?:tu van|tra loi|dua ra (?:y kien|loi khuyen|tu van)|binh luan|cung cap)\b"),
+    ("khong chua", r"\b(?:khong|chua) the (?:tra loi|giai dap|dua ra (?:cau tra loi|ket luan|y kien)|tu van|binh luan|ho tro (?:ban|yeu cau|cau hoi)|dap ung yeu cau)\b"),
+    ("cau thu", r"\bcau (?:hoi )?nay (?:\w+ )?(?:kho qua|qua kho)\b|\bthu hoi (?:noi|cho|nguoi) khac\b"),
+    ("khong", r"\bkhong thuoc (?:\w+ )?(?:chuc nang|pham vi|tham quyen|nhiem vu|trach nhiem|kha nang)\b(?: \w+){0,3} (?:kenh|toi|minh|he thong|chung toi|tro ly|tong dai|chuyen muc|ban tu van)\b"),
+    ("vuot", r"\bvuot (?:qua |ngoai )?(?:kha nang|pham vi|tham quyen|quyen han|hieu biet)\b(?: \w+){0,3} (?:toi|minh|he thong|chung toi|tro ly|kenh)\b"),
+    ("khong chua", r"\b(?:khong|chua) co (?:thong tin|du lieu|cau tra loi|quyen tra loi|can cu|tham quyen tra loi)\b(?: \w+){0,4} (?:de|ve|cho|nao)\b(?: \w+){0,6} (?:cau hoi|tra loi|van de|noi dung|yeu cau)\b"),
+    ("mien khong tu dung", r"\b(?:mien|khong) binh luan\b|\btu choi (?:tra loi|giai dap|tu van|cau hoi)\b|\bkhong giup duoc\b|\bkhong tra loi (?:duoc|cau|noi dung|van de)\b|\bdung (?:tra loi|cuoc tro chuyen)\b"),
+    ("i we", r"\b(?:i|we) (?:\w+ )?(?:can t|cannot|can not|could not|couldn t|won t|will not|am unable|are unable|am not able|are not able|m unable|m not able|must decline|have to decline|decline|prefer not)\b"),
+    ("as", r"\bas an? (?:ai|artificial|automated|language)\b.{0,40}\b(?:unable|cannot|can t|not able|not allowed|do not|don t)\b"),
+    ("i we", r"\b(?:i|we) (?:do not|don t|did not|didn t) (?:have|find|know|possess)\b.{0,30}\b(?:enough|sufficient|information|context|answer|data|evidence|access)\b"),
+    ("unable outside beyond not no cannot", r"\bunable to (?:answer|help|assist|provide|give|comply|respond)\b|\b(?:outside|beyond) (?:of )?(?:my|the|our) scope\b|\b(?:not|no) (?:enough|sufficient) (?:information|context|data|evidence)\b|\bcannot be answered\b|\bno answer can be given\b"),
+    ("je pas", r"\bje (?:ne )?(?:peux|puis|suis) (?:malheureusement )?pas\b|\bje refuse\b|\bpas (?:assez|suffisamment) d (?:informations?|elements?)\b"),
+    ("no", r"\b(?:no puedo|no podemos|no me es posible|no estoy autorizad[oa])\b|\bno (?:tengo|hay|dispongo de) suficiente"),
+    ("saya kami tidak", r"\b(?:saya|kami) (?:\w+ )?(?:tidak (?:dapat|bisa|mampu|boleh)|belum (?:dapat|bisa))\b|\btidak (?:ada|memiliki) cukup\b"),
+    ("ich nao non nie", r"\bich kann (?:\w+ ){0,4}?nicht\b|\bnao posso\b|\bnon posso\b|\bnie moge\b"),
+    ("не недостаточно вынужден вынуждена вынуждены отказываюсь", r"\b(?:не могу|не можем|не могла|не имею права|не в состоянии|вынужден[аы]? отказать|отказываюсь)\b|\bнедостаточно (?:данных|информации|сведении)\b"),
 )
+_REFUSING = {
+    head: re.compile("|".join(expression for heads, expression in _REFUSALS if head in heads.split()))
+    for head in {head for heads, _ in _REFUSALS for head in heads.split()}
+}
+
+
+def _refuses(words: str) -> bool:
+    """Whether a text in plain form holds a refusing expression."""
+    at = 0
+    for word in words.split(" "):
+        if (expression := _REFUSING.get(word)) and expression.match(words, at):
+            return True
+        at += len(word) + 1
+    return False
+
+
 _REFUSALS_OTHER = re.compile(r"无法(?:回答|提供|帮助|給)|無法(?:回答|提供|幫助)|不能(?:回答|提供)|抱歉|对不起|對不起|申し訳|お答えできません|回答できません|답변(?:할 수 없|을 드릴 수 없)|죄송|ไม่สามารถ(?:ตอบ|ให้)|لا (?:أستطيع|يمكنني)|عذر", re.I)
 _COURTESY = re.compile(
     r"\b(?:xin loi|rat tiec|mong ban thong cam|dat cau hoi khac|vui long (?:lien he|hoi|tham khao|cung cap)|lien he luat su|hoi (?:co quan|luat su|chuyen gia|bo phan|nguoi|noi|ben)|co quan co tham quyen|giai dap chinh xac|chuc ban|chuc anh|tham khao (?:y kien|luat su|chuyen gia)|nho luat su|tim den|mong (?:ban|anh|quy)|hen gap lai|tran trong|cung cap them (?:tai lieu|thong tin)|de nghi cung cap|cam on|thua ban|sorry|apologi[sz]e|please (?:consult|contact|provide|rephrase)|desole|lo siento|maaf|entschuldigung|извините|простите|к сожалению|обратитесь|consult[ae]z?|hubungi)\b"
@@ -113,19 +150,25 @@ _DENIAL = re.compile(r"\b(?:khong|chua|chang|kho|ngoai|dung|bo qua|tu choi|can t
 APOLOGY_WORDS = 60
 
 
-def is_refusal(body: str) -> bool:
-    """A refusing sentence with at most REFUSAL_REST words in sentences of another kind, or a short apology."""
-    whole = plain(body)
+def is_refusal(body: str, whole: str | None = None) -> bool:
+    """A refusing sentence and no answer beside it, or a short apology.
+
+    Sentences of another kind may hold REFUSAL_REST words in all, but none may state
+    anything by a number; ``whole`` is the plain form of the body, if it is known.
+    """
+    whole = plain(body) if whole is None else whole
     if _OPENING.match(whole) and _DENIAL.search(whole) and len(whole.split()) <= APOLOGY_WORDS and not any(c.isdigit() for c in whole):
         return True
-    refused, rest = bool(_REFUSALS_OTHER.search(body)), 0
-    if not refused and not _REFUSALS.search(whole):
+    refused, rest = not body.isascii() and bool(_REFUSALS_OTHER.search(body)), 0
+    if not refused and not _refuses(whole):
         return False
     for sentence in re.split(r"(?<=[.!?。！？])\s+|\n+", body):
         words = plain(sentence)
-        if _REFUSALS.search(words):
+        if _refuses(words):
             refused = True
         elif not _COURTESY.search(words) and not _REFUSALS_OTHER.search(sentence):
+            if any(c.isdigit() for c in words):
+                return False
             rest += len(words.split())
     return refused and rest <= REFUSAL_REST
 
@@ -133,22 +176,34 @@ def is_refusal(body: str) -> bool:
 def novelty(question: str, answer: str) -> float:
     """Bytes the answer adds to its question, per byte; both in plain form."""
     dictionary = zstandard.ZstdCompressionDict(question.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    compressor = zstandard.ZstdCompressor(level=12, dict_data=dictionary, write_content_size=False, write_dict_id=False)
+    compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_dict_id=False)
     data = answer.encode()
     return max(0, len(compressor.compress(data)) - _FRAME) / max(1, len(data))
 
 
-def copies_question(question: str | None, body: str) -> bool:
-    """At least four words, covering much of the question, that the question explains nearly alone."""
+def copies_question(question: str | None, body: str, plain_body: str | None = None) -> bool:
+    """The question again, as a whole or asked in part, or an answer it explains nearly alone.
+
+    An answer of any length that equals its question is a copy; so is a run of at least two
+    words of the question that still asks.  Otherwise the answer must cover much of the question.
+    """
     if not question:
         return False
-    q, a = plain(question), plain(core(body))
+    q, a = plain(question), plain(body) if plain_body is None else plain_body
+    if not a or not q:
+        return False
+    if a == q:
+        return True
     n = len(a.split())
+    if n >= 2 and body.rstrip(" \n\"”’)").endswith("?") and f" {a} " in f" {q} ":
+        return True
     if n < 4 or n < 0.5 * len(q.split()):
         return False
-    return a == q or novelty(q, a) < COPY_RATIO - _FRAME / max(40, len(a.encode()))
+    return novelty(q, a) < COPY_RATIO - _FRAME / max(40, len(a.encode()))
 
 
+_FENCE, _QUOTES = re.compile(r"\s*+```[a-z]*\s*+"), ('"', "”", "’", "»")
+
 # A Vietnamese syllable without accents: onset, vowels, coda.
 _SYLLABLE = re.compile(r"(?:ngh|ng|nh|ch|gh|gi|kh|ph|qu|th|tr|[bcdghklmnpqrstvx])?(?:[aeiouy]|ai|ao|au|ay|eo|eu|ia|ie|ieu|iu|oa|oai|oao|oay|oe|oeo|oi|oo|ua|uai|uao|uau|uay|ue|ui|uo|uoi|uou|uu|uy|uya|uye|uyu|ye|yeu|ya)(?:ch|ng|nh|[cmnpt])?")
 _ACCENTED = re.compile("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹìòùũĩõ]")
@@ -167,24 +222,14 @@ _VIETNAMESE = frozenset(
 )
 
 
-def is_foreign(body: str) -> bool:
-    """More foreign words than Vietnamese ones.
-
-    Words of another script, words that are no Vietnamese syllable and frequent foreign
-    words are foreign; accented syllables and frequent Vietnamese words are Vietnamese;
-    other syllables could be either.  Names inside a foreign sentence do not outweigh it,
-    and unaccented Vietnamese keeps to the syllables.
-    """
+def _language(token: str) -> tuple[int, int, int]:
+    """(foreign, native, either) words of a run without blanks."""
     foreign = native = either = 0
-    words = _WORDS(body)
-    if 2 * sum(map(bool, map(_ACCENTED_WORD, words))) > len(words):
-        return False  # most words are accented syllables
-    for word in words:
+    for word in _WORDS(token):
         if any(c.isdigit() for c in word) or len(word) == 1:
             continue
-        low = word.lower()
-        bare = _MARKS.sub("", unicodedata.normalize("NFD", low.replace("đ", "d")))
-        upper = word[0].isupper()
+        low, upper = word.lower(), word[0].isupper()
+        bare = _BARE[low]
         if not bare.isascii():
             foreign += max(1, len(word) // 2 if ord(word[0]) > 0x2E80 else 1)
         elif word.isupper() and len(word) <= 4:
@@ -197,6 +242,30 @@ def is_foreign(body: str) -> bool:
             foreign += 1
         elif not upper:
             either += 1
+    return foreign, native, either
+
+
+def _accents(token: str) -> int:
+    """Accented Vietnamese syllables of a run without blanks, less half of its words, times two."""
+    words = _WORDS(token)
+    return 2 * sum(map(bool, map(_ACCENTED_WORD, words))) - len(words)
+
+
+_LANGUAGE, _ACCENTS = _ByWord(_language), _ByWord(_accents)
+
+
+def is_foreign(body: str) -> bool:
+    """More foreign words than Vietnamese ones.
+
+    Words of another script, words that are no Vietnamese syllable and frequent foreign
+    words are foreign; accented syllables and frequent Vietnamese words are Vietnamese;
+    other syllables could be either.  Names inside a foreign sentence do not outweigh it,
+    and unaccented Vietnamese keeps to the syllables.
+    """
+    tokens = body.split()
+    if sum(map(_ACCENTS.__getitem__, tokens)) > 0:
+        return False  # most words are accented syllables
+    foreign, native, either = map(sum, zip(*map(_LANGUAGE.__getitem__, tokens))) if tokens else (0, 0, 0)
     known = foreign + native
     return known + either >= 3 and foreign > native and foreign >= 0.35 * (known + either)
 
@@ -209,12 +278,18 @@ def judge(question: str | None, answer: str | None) -> tuple[str | None, str]:
     body = core(text)
     if is_empty(body):
         return "empty", ""
-    if is_refusal(body):
+    words = plain(body)
+    if is_refusal(body, words):
         return "refusal", ""
-    if copies_question(consistent(question) if question else None, body):
+    if copies_question(consistent(question) if question else None, body, words):
         return "copies_question", ""
     if is_foreign(body):
         return "other_language", ""
+    # code fences and closing quotes are the frame of an answer, not a cut
+    if "```" in text:
+        text = _FENCE.sub("\n", text)
+    if (bare := text.rstrip()).endswith(_QUOTES) and (bare := bare.rstrip("".join(_QUOTES))).endswith((".", "!", "?")):
+        text = bare
     return None, text
 
 
@@ -238,10 +313,8 @@ def defects(pairs: DataFrame) -> DataFrame:
         pairs.select("kind", "id", "method", "question", "answer").mapInArrow(_judge, "kind string, id string, method string, defect string, body string")
     )
     key = F.struct("kind", "id", "method")
-    # code fences and closing quotes are the frame of an answer, not a cut
-    body = F.regexp_replace(F.regexp_replace("body", r"\s*```[a-z]*\s*", "\n"), r"([.!?])[\"”’]+\s*$", "$1")
-    open_ = judged.where("defect is null").select(key.alias("doc_id"), body.alias("text"), F.lit("").alias("source"))
-    cut = cut_texts(open_).where("cut is not null").select("doc_id.*", F.lit("truncated").alias("late"))
+    open_ = judged.where("defect is null").select(key.alias("doc_id"), F.col("body").alias("text"), F.lit("").alias("source"))
+    cut = cut_texts(open_, consistent=True).where("cut is not null").select("doc_id.*", F.lit("truncated").alias("late"))
     return judged.join(cut, ["kind", "id", "method"], "left").select("kind", "id", "method", F.coalesce("defect", "late").alias("defect"))
 
 

@@ -18,7 +18,6 @@ lines of its own kind correct.  All counts run over all documents, equal texts o
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +34,12 @@ NOTICES = (
     r"(?:^|[\n….\s])[ \t]*(?:(?:tải|nhấn|bấm|đăng nhập|đăng ký|mời|vui lòng|click|download|log in|sign in)[^\n.!?]{0,40}[ \t])?(?:để[ \t]|to[ \t])?(?:đọc tiếp|xem tiếp|đọc thêm|xem thêm|xem toàn bộ|xem đầy đủ|xem bản đầy đủ|read more|see more|show more|continue reading)[.!\s]*\z",
     r"\n[ \t]*[-–—_*=~]{2,}[ \t]*(?=\s*\z)",
 )
-NOTICE = r"(?isu)(?:\s+|" + "|".join(NOTICES) + r")+\z"
-#: Longest tail that may be notices, in characters.
-TAIL = 240
+NOTICE = r"(?isu)(?:(?<!\s)\s++|" + "|".join(NOTICES) + r")+\z"
+#: A line of nothing but notices, rules and blanks.
+IDLE_LINE = r"(?isu)\A(?:(?<!\s)\s++|" + "|".join(NOTICES) + r"|\A[ \t]*[-–—_*=~]{2,}[ \t]*\z)*\z"
+#: What a notice, rule or fence can end with (fixed values); a text that ends otherwise has none.
+NOTICE_ENDS = ("]", "…", "\ufffd", ">", "`", "}", ")", "-", "–", "—", "_", "*", "=", "~", "...")
+NOTICE_WORDS = ("tiếp", "thêm", "bộ", "đủ", "more", "reading")
 #: What counts as a token of the statistics; numbers keep their separators.
 TOKEN = r"\d+(?:[.,/:-]\d+)*(?![\p{L}\p{N}])|[\p{L}\p{N}]+"
 #: A trigram is judged itself from this many sightings in other texts on, else by its shape.
@@ -47,6 +49,9 @@ RARELY = 0.1
 #: Numbers and abbreviations before a stop that are seldom an end: the stop belongs to them.
 RARELY_STOPPED = 0.03
 
+#: Most grams (8 bytes each) that are broadcast to drop the others before they are counted.
+BROADCAST_GRAMS = 1_000_000
+
 #: Words that cannot close even a short phrase (fixed values).
 FUNCTION_WORDS = (
     "và của với cho thì là mà để từ theo tại trong khi nếu các những một được bị không vì do về đến tới ra vào lên "
@@ -54,70 +59,127 @@ FUNCTION_WORDS = (
     "the a an of to in on at for and or by with from that which is are be shall must may"
 ).split()
 
+#: A text without what follows its cut.  Only texts whose last characters can belong to a
+#: notice are looked through: their idle last lines go, then the notices that close the line before.
+_SQL_BODIES = """
+with trimmed as (
+  select doc_id, source, case when endswith(form, ' ') or endswith(form, '\\n') then rtrim(' \\n', form) else form end as t,
+         contains(form, '�') and form rlike '�[^\\\\p{L}\\\\p{N}]*\\\\z' as broken
+  from {forms}
+), last as (
+  select *, substring_index(substring_index(t, '\\n', -1), ' ', -1) as piece from trimmed
+), marked as (
+  select doc_id, source, t, broken, {ends} or contains(t, '```')
+           or lower(case when endswith(piece, '.') or endswith(piece, '!') then case when ltrim('.!', piece) = '' then rtrim(' \\n.!', t) else rtrim('.!', piece) end else piece end) rlike '(?:{words})$' as noticed
+  from last
+), cut as (
+  select *, case when noticed then split(regexp_replace(t, ' {2,}', ' '), '\\n') end as rows from marked
+), kept as (
+  select *, case when noticed then int(array_size(rows) + 1 - coalesce(nullif(array_position(transform(reverse(rows), x -> x rlike '{idle}'), false), 0), array_size(rows) + 1)) end as upto
+  from cut
+), stripped as (
+  select doc_id, source, broken,
+         case when not noticed then t
+              when upto = 0 then ''
+              else array_join(array_append(slice(rows, 1, upto - 1), regexp_replace(rows[upto - 1], '{notice}', '')), '\\n') end as raw
+  from kept
+)
+select doc_id, source, broken,
+       case when raw rlike '^[ \\n]' or endswith(raw, ' ') or endswith(raw, '\\n') then trim(both ' \\n' from raw) else raw end as body
+from stripped
+"""
+
+#: What the form of a last line says of its end, by its last piece without blanks; the ends with
+#: a question mark are left to the counts.
+_SAID = """case when broken then 'character'
+       when line rlike '^(?:[•*·▪◦►+–-]|[(]?[0-9]{1,3}[.)]|[a-zđ][)])$' or piece rlike '^(?:[0-9]{1,2}[.)]|[a-zđ][)])$' and line rlike '[.;:] +[^ ]+$'
+            or piece rlike '^[0-9]+[.:)]?$' and line rlike '(?iu)(?:^|[.;] +)(?:điều|khoản|chương|mục|article|clause|section) [^ ]+$' then 'list mark'
+       when piece rlike 'https?://[^.]*$' then 'link'
+       when piece rlike '(?:https?://|www[.]).+$' then 'complete'
+       when contains(line, '(') and not contains(substring_index(line, '(', -1), ')') then 'bracket'
+       when piece rlike '[.]{3,}$|_{2,}$' then 'complete'
+       when piece rlike '[,:;(/–-]["”’]?$' then 'sentence'
+       when piece rlike '[!?。][)"”’»]*$' then 'complete'
+       when piece rlike '^(?:[0-9][0-9.]*|[\\\\p{Lu}]{1,3})[.]$' then 'number?'
+       when piece rlike '[.][)"”’»/]*[.]?$' then 'complete'
+       else 'open?' end"""
+
+#: The lines of a text with their kind and, where an end is left open, their tokens; {which} picks the last line or all.
 _SQL_LINES = """
-with bodies as (
-  select doc_id, source, text_key, broken, first_copy,
-         filter(split(body, '\\n'), x -> trim(x) <> '') as lines
-  from {docs}
-), kinds as (
-  select doc_id, source, text_key, broken, first_copy, size(lines) as n, pos,
-         trim(line) as line,
-         case when line rlike '^\\\\s*[•*·▪◦►+–-]' then concat('item ', coalesce(source, ''))
-              when (size(lines) = 1 or line rlike '^\\\\s*(?iu:đáp|trả lời|answer|a)\\\\s*:') and not line rlike '[.!?;] +[\\\\p{Lu}\\\\p{N}"]'
+with each as (
+  {which}
+), marked as (
+  select *, case when contains(line, ':') then line rlike '^(?iu:đáp|trả lời|answer|a)\\\\s*:' else false end as labelled,
+         right(rtrim(')"”’»', substring_index(line, ' ', -1)), 1) in ('.', '!', '?', ':', ';', ',') as stopped
+  from each
+)
+select *, case when left(line, 1) in ('•', '*', '·', '▪', '◦', '►', '+', '–', '-') then concat('item ', coalesce(source, ''))
+              when (alone or labelled) and not line rlike '[.!?;] +[\\\\p{Lu}\\\\p{N}"]'
                 then case when line rlike '^(?:[^ ]+ +){0,15}[^ ]+ *$' then 'short' else 'single' end
               else 'running' end as kind,
-         regexp_extract_all(regexp_replace(line, '^\\\\s*(?iu:đáp|trả lời|answer|a)\\\\s*:', ''), '{token}', 0) as tokens
-  from bodies lateral view posexplode(lines) t as pos, line
-)
-select doc_id, source, text_key, broken, first_copy, n, pos, line, kind,
-       pos = n - 1 as last,
-       line rlike '[.!?:;,][)"”’»]*$' as stopped,
-       transform(tokens, x -> case when x >= ':' then lower(x) when contains(x, '/') or contains(x, '-') or contains(x, ':') then 'D' else '#' end) as words,
-       transform(tokens, x -> case when x >= ':' then case when lower(left(x, 1)) = left(x, 1) then x else 'X' end when contains(x, '/') or contains(x, '-') or contains(x, ':') then 'D' else '#' end) as shapes
-from kinds
+       case when said in ('open?', 'number?')
+         then regexp_extract_all(case when labelled then regexp_replace(line, '^(?iu:đáp|trả lời|answer|a)\\\\s*:', '') else line end, '{token}', 0) end as tokens
+from marked
 """
+_LAST = f"""select *, {_SAID} as said
+  from (select *, substring_index(line, ' ', -1) as piece from (select doc_id, source, broken, not contains(body, '\\n') as alone, trim(substring_index(body, '\\n', -1)) as line from {{docs}}))"""
+_EVERY = """select source, alone, trim(row) as line, 'open?' as said
+  from (select source, not contains(body, '\\n') as alone, explode_outer(split(body, '\\n')) as row from {docs} where first_copy) where trim(row) <> ''"""
+
+
+def _at(i: str) -> tuple[str, str]:
+    """SQL of the word and the shape of the i-th token (from 0): '^' before the line, classes for numbers.
+
+    Tokens that begin with a small ASCII letter are words as they are; others in lower case.
+    """
+    token = f"get(tokens, {i})"
+    number = f"case when translate({token}, '/:-', '') = {token} then '#' else 'D' end"
+    word = f"case when {i} < 0 then '^' when {token} >= 'a' and {token} < '{{' then {token} when {token} >= ':' then lower({token}) else {number} end"
+    shape = (
+        f"case when {i} < 0 then '^' when {token} >= 'a' and {token} < '{{' then {token} "
+        f"when {token} >= ':' then case when startswith({token}, lower(left({token}, 1))) then {token} else 'X' end else {number} end"
+    )
+    return word, shape
+
 
 #: A gram is a hash of its level and its words: words and shapes of three, shapes of two.
-_GRAM = {
-    "w": "xxhash64('w', {at(words, 2)}, {at(words, 1)}, {at(words, 0)})",
-    "s": "xxhash64('s', {at(shapes, 2)}, {at(shapes, 1)}, {at(shapes, 0)})",
-    "b": "xxhash64('b', {at(shapes, 1)}, {at(shapes, 0)})",
-}
-
-
-def _gram(level: str, inside: bool) -> str:
-    """SQL of the gram that ends at element i (inside a lambda) or at the end of the line."""
-
-    def at(found: re.Match) -> str:
-        name, back = found.group(1), int(found.group(2))
-        if inside:
-            return f"case when i >= {back} then {name}[i - {back}] else '^' end"
-        return f"coalesce(try_element_at({name}, {-1 - back}), '^')"
-
-    return re.sub(r"\{at\((\w+), (\d)\)\}", at, _GRAM[level])
-
-
-_SQL_COUNTS = f"""
-with once as (
-  select kind, stopped, words, shapes from {{lines}} where first_copy and size(words) > 0
-), grams as (
-  select kind, stopped, inline(flatten(transform(words, (x, i) -> array(
-    named_struct('gram', {_gram("w", True)}, 'at_end', i = size(words) - 1),
-    named_struct('gram', {_gram("s", True)}, 'at_end', i = size(words) - 1),
-    named_struct('gram', {_gram("b", True)}, 'at_end', i = size(words) - 1)
-  )))) from once
+_WORD_GRAM = "xxhash64('w', w2, w1, w0)"
+_SHAPE_GRAM = "xxhash64('s', s2, s1, s0)"
+_PAIR_GRAM = "xxhash64('b', s1, s0)"
+
+
+def _three(i: str) -> str:
+    """SQL of the words w0, w1, w2 and shapes s0, s1, s2 of the token at i and the two before it."""
+    return ", ".join(f"{sql} as {name}{back}" for back in range(3) for name, sql in zip("ws", _at(f"({i} - {back})")))
+
+
+#: The last line of each text: what its form says of the end, and the grams where that leaves it open.
+_SQL_ENDS = f"""
+with parts as (
+  select *, {_three("(array_size(tokens) - 1)")} from {{lines}}
+)
+select doc_id, source, kind, stopped, said, array_size(tokens) as n_words, w0 as last_word,
+  {_WORD_GRAM} as word_gram, {_SHAPE_GRAM} as shape_gram, {_PAIR_GRAM} as pair_gram
+from parts
+"""
+
+#: Sightings inside and at ends of lines, of the grams that leave an end open; the others are
+#: dropped before anything is counted.
+_SQL_GRAMS = f"""
+with tokens as (
+  select kind, stopped, tokens, array_size(tokens) - 1 as last, i from {{lines}} lateral view outer posexplode(tokens) t as i, token
+), three as (
+  select kind, stopped, i = last as at_end, {_three("i")} from tokens where i is not null
 )
+select kind, stopped, at_end, gram from three lateral view explode(array({_WORD_GRAM}, {_SHAPE_GRAM}, {_PAIR_GRAM})) t as gram
+"""
+
+_SQL_COUNTS = """
 select kind, gram,
        count(*) as seen,
        count_if(at_end and not stopped) as open_ends,
        count_if(at_end and stopped) as closed_ends
-from grams group by kind, gram
-"""
-
-_SQL_ENDS = f"""
-select doc_id, source, text_key, broken, n, line, kind, stopped, first_copy, size(words) as n_words, coalesce(try_element_at(words, -1), '') as last_word,
-       {_gram("w", False)} as word_gram, {_gram("s", False)} as shape_gram, {_gram("b", False)} as pair_gram
-from {{lines}} where last
+from {grams} group by kind, gram
 """
 
 _SQL_JUDGE = """
@@ -145,19 +207,9 @@ with judged as (
          case when w_seen >= {support} then w_closed / w_seen when s_seen >= {support} then s_closed / s_seen end as closed_rate
   from judged
 )
-select doc_id, source, line, kind, open_rate, closed_rate, w_seen, s_seen,
-  case when broken then 'character'
-       when line rlike '^(?:[•*·▪◦►+–-]|[(]?[0-9]{1,3}[.)]|[a-zđ][)])$' or line rlike '(?:[.;:] +)(?:[0-9]{1,2}[.)]|[a-zđ][)])$'
-            or line rlike '(?iu)(?:^|[.;] +)(?:điều|khoản|chương|mục|article|clause|section) [0-9]+[.:)]?$' then 'list mark'
-       when line rlike 'https?://[^ .]*$' then 'link'
-       when line rlike '(?:https?://|www[.])[^ ]+$' then null
-       when line rlike '[(][^()]*$' then 'bracket'
-       when line rlike '[.]{3,}$|_{2,}$' then null
-       when line rlike '[,:;(/–-]["”’]?$' then 'sentence'
-       when line rlike '[!?。][)"”’»]*$' then null
-       when line rlike '(?:^| )(?:[0-9][0-9.]*|[\\\\p{Lu}]{1,3})[.]$' then case when closed_rate < {rarely_stopped} then 'number' end
-       when line rlike '[.][)"”’»/]*[.]?$' then null
-       when open_rate < {rarely} then 'sentence or word' end as cut
+select doc_id, source, kind, open_rate, closed_rate, w_seen, s_seen,
+  case when said = 'number?' and closed_rate < {rarely_stopped} then 'number'
+       when said = 'open?' and open_rate < {rarely} then 'sentence or word' end as cut
 from rates
 """
 
@@ -174,35 +226,48 @@ def _sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
     return result
 
 
-def cut_texts(docs: DataFrame, rarely: float = RARELY) -> DataFrame:
+def _escaped(pattern: str) -> str:
+    """The pattern as the inside of an SQL string."""
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _bodies(spark: SparkSession, forms: DataFrame) -> DataFrame:
+    """(doc_id, source, broken, body) of (doc_id, source, form)."""
+    ends = " or ".join(f"endswith(t, '{e}')" for e in NOTICE_ENDS)
+    query = _SQL_BODIES.replace("{ends}", ends).replace("{words}", "|".join(NOTICE_WORDS)).replace("{idle}", _escaped(IDLE_LINE)).replace("{notice}", _escaped(NOTICE))
+    return _sql(spark, query, forms=forms)
+
+
+def cut_texts(docs: DataFrame, rarely: float = RARELY, consistent: bool = False) -> DataFrame:
     """Operator: docs (doc_id, text, source) -> one row per document with text, and ``cut``.
 
     ``cut`` says where the text stops (null: it is complete).  Null, empty and blank texts
-    give no rows; equal texts are counted once and judged alike.
+    give no rows; equal texts are counted once and judged alike.  Only ends that their own
+    form leaves open are looked up in the counts, so only their grams are counted, over all texts.
+    ``consistent``: the texts are in their consistent form already.
     """
     spark = docs.sparkSession
-    form = docs.where("text is not null").select("doc_id", "source", consistent_form(F.col("text")).alias("form"))
-    # notices are short: only the tail is searched; what stands before it is kept as it is
-    tail = F.right("form", F.lit(TAIL))
-    for _ in range(3):  # a notice may stand behind a rule or another mark
-        tail = F.regexp_replace(tail, NOTICE, "")
-    head = F.left("form", F.greatest(F.length("form") - TAIL, F.lit(0)))
-    broken = F.right("form", F.lit(TAIL)).rlike(r"\x{FFFD}\W*\z")
-    bodies = form.select("doc_id", "source", broken.alias("broken"), F.concat(head, tail).alias("body"))
+    form = docs.where("text is not null").select("doc_id", "source", (F.col("text") if consistent else consistent_form(F.col("text"))).alias("form"))
     # what is left behind a stripped notice keeps its own last mark; a form of notices only counts as blank
-    bodies = stored(bodies).where(F.trim("body") != "").withColumn("text_key", F.xxhash64("body"))
+    bodies = stored(_bodies(spark, form).where("body <> ''")).withColumn("text_key", F.xxhash64("body"))
     # only the repeated texts need a shuffle by document: which copies do not count
     first = bodies.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key", "first")
     copies = stored(bodies.select("doc_id", "text_key").join(first, "text_key").where("doc_id <> first").select("doc_id", F.lit(False).alias("first_copy")))
     bodies = bodies.join(small(copies, copies.count()), "doc_id", "left").withColumn("first_copy", F.coalesce("first_copy", F.lit(True)))
-    token = TOKEN.replace("\\", "\\\\")
-    lines = stored(_sql(spark, _SQL_LINES.replace("{token}", token), docs=bodies))
-    counts = stored(_sql(spark, _SQL_COUNTS, lines=lines))
-    ends = _sql(spark, _SQL_ENDS, lines=lines)
+    lines = _SQL_LINES.replace("{token}", _escaped(TOKEN))
+    ends = stored(_sql(spark, _SQL_ENDS, lines=_sql(spark, lines.replace("{which}", _LAST), docs=bodies)))
+    undecided = ends.where(F.col("said").isin("open?", "number?"))
+    wanted = stored(undecided.select(F.explode(F.array("word_gram", "shape_gram", "pair_gram")).alias("gram")).distinct())
+    grams = _sql(spark, _SQL_GRAMS, lines=_sql(spark, lines.replace("{which}", _EVERY), docs=bodies))
+    if wanted.count() <= BROADCAST_GRAMS:  # beyond, all grams are counted
+        grams = grams.join(F.broadcast(wanted), "gram", "left_semi")
+    counts = stored(_sql(spark, _SQL_COUNTS, grams=grams))
     pooled = counts.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum(F.col("open_ends") + F.col("closed_ends")).alias("ends"))
     judge = _SQL_JUDGE.replace("{support}", str(SUPPORT)).replace("{rarely}", str(rarely)).replace("{rarely_stopped}", str(RARELY_STOPPED))
     judge = judge.replace("{function_words}", ", ".join(f"'{w}'" for w in FUNCTION_WORDS))
-    return _sql(spark, judge, ends=ends, counts=counts, pooled=pooled)
+    judged = _sql(spark, judge, ends=undecided, counts=counts, pooled=pooled).select("doc_id", "source", "kind", "cut")
+    said = F.when(F.col("said") != "complete", F.col("said")).alias("cut")
+    return ends.where(~F.col("said").isin("open?", "number?")).select("doc_id", "source", "kind", said).unionByName(judged)
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:

@@ -97,6 +97,14 @@ def test_truncated_answers_are_found(spark):
     assert {i for i, d in got.items() if d} == {"cut1", "cut2"} and got["cut1"] == got["cut2"] == "truncated"
 
 
+def test_short_copies_and_answers_beside_a_refusal():
+    assert answers.judge("Ai?", "Ai")[0] == "copies_question"
+    assert answers.judge("Ai phải nộp thuế đất?", "nộp thuế đất?")[0] == "copies_question"
+    assert answers.judge("Thu hồi giấy phép hay phạt tiền?", "Phạt tiền")[0] is None
+    assert answers.judge("?", "Theo Điều 5, người lao động được nghỉ 12 ngày. Tôi không thể trả lời thêm.")[0] is None
+    assert answers.judge("?", "Tôi không thể trả lời câu hỏi này. Mong bạn thông cảm.")[0] == "refusal"
+
+
 def test_queries_run(spark, small):
     found = answers.p1_found(spark, small).collect()
     assert len(found) == len({tuple(r) for r in found}) > 0
@@ -130,6 +138,14 @@ def test_kinds_of_cuts(spark):
     assert not {15, 16, 17} & set(got)
 
 
+def test_notices_of_any_length_and_distance(spark):
+    head = "Cơ quan nhận đủ hồ sơ thì cấp phiếu hẹn. "
+    ends = ["(còn tiếp)" + " " * 300, "[…]" + " \n" * 300, "\n" + "-" * 250 + "\n(còn tiếp)", "\n" + "-" * 60 + "\n(còn tiếp)", "\n***\n" * 40 + "Xem thêm", "(còn tiếp)" + " " * 10]
+    got = cuts(spark, [head + e for e in ends] + [head + "Người nộp phải tr" + e for e in ends] + [head + "Kết quả g\ufffd" + " -" * 300])
+    assert not any(got[n] for n in range(6)), got
+    assert all(got[n] for n in range(6, 13)), got
+
+
 def test_cut_texts_on_an_empty_table(spark):
     assert cutoff.cut_texts(spark.createDataFrame([], DOCS)).count() == 0
 
