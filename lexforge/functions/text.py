@@ -20,6 +20,7 @@ ALNUM = r"[\p{L}\p{N}]"
 ALPHA = r"[\p{L}\p{Nl}\p{No}]"
 DIGIT = r"\p{Nd}"
 
+# The token patterns, whose order of alternatives decides.
 #: Legal tokens: codes, dates, slashed and grouped numbers, numbers with letters, joined words, marks.
 LEGAL_TOKEN = (
     rf"({DIGIT}+(?:/{DIGIT}+)+/{ALPHA}+(?:-{ALPHA}+)+"

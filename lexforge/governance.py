@@ -12,6 +12,7 @@ from pathlib import PurePosixPath
 SECRET_WORDS = ("apikey", "authorization", "credential", "password", "passwd", "secret", "token")
 REDACTED = "<redacted>"
 METHODS = ("direct", "bm25_rag", "hybrid_rag", "finetuned_reader", "tuned_bm25_reader")
+RAG_METHODS, TRAINING_SPLITS = METHODS[:3], ("train",)
 SPLIT_RIGHTS = {
     "train": {"build_index", "inspect_retrieval", "validate_data"},
     "warmup": {"build_index", "inspect_retrieval", "validate_data", "evaluate", "inference", "submission"},
@@ -107,6 +108,12 @@ class Profile:
     per_document: int = 2
     overlap_threshold: float = 0.8
     reranker: str = "none"
+    generator: str = "mock"
+    model: str = "mock"
+    url: str = ""
+    key_variable: str = ""
+    max_tokens: int = 96
+    timeout: float = 180.0
     data: str = "data"
     output: str = "outputs"
     extra: dict = field(default_factory=dict)
@@ -125,6 +132,9 @@ class Profile:
         need(self.evidence_chars > 0 and self.per_document > 0, "evidence limits must be positive")
         need(0 < self.overlap_threshold <= 1, "overlap threshold must be within (0, 1]")
         need((self.method == "hybrid_rag") == (self.reranker != "none"), "hybrid_rag needs a reranker, other methods none")
+        need(self.generator in ("mock", "openai", "ollama"), f"unknown generator {self.generator!r}")
+        need(self.generator == "mock" or bool(self.url), "a generator needs its url")
+        need(self.max_tokens > 0 and self.timeout > 0, "generation limits must be positive")
         need(not any(is_secret(k) for k in self.extra), "secrets do not belong into a profile")
         safe_relative(self.data), safe_relative(self.output)
 
@@ -148,6 +158,50 @@ class Profile:
         return digest(asdict(self))
 
 
+def training_policy(splits: list[str]) -> dict:
+    """Whether only splits that training may use are asked for."""
+    refused = sorted(set(splits) - set(TRAINING_SPLITS))
+    return {"allowed_splits": list(TRAINING_SPLITS), "candidate_splits": list(splits), "disallowed_splits": refused, "pass": not refused}
+
+
+def reference_policy() -> dict:
+    """Whether references of public and private are out of reach, by trying."""
+    errors = {}
+    for split in ("public", "private"):
+        try:
+            require_references(split, "approved_evaluation")
+        except PermissionError as error:
+            errors[split] = str(error)
+    return {"public_blocked": "public" in errors, "private_blocked": "private" in errors, "errors": errors, "pass": len(errors) == 2}
+
+
+#: The fields whose values a frozen run may not change.
+FROZEN = ("profile", "template", "corpus", "chunk_cache", "index", "splits", "representative_run")
+
+
+def freeze(**values) -> dict:
+    """A fingerprint of everything a run depends on; fields that are not known yet are unresolved."""
+    if unknown := set(values) - set(FROZEN):
+        raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
+    fields = {name: values.get(name) or "UNRESOLVED" for name in FROZEN}
+    return {"schema_version": "lexforge.freeze.1", "fields": fields, "sha256": digest(fields)}
+
+
+def load_freeze(path: str) -> dict:
+    """A stored fingerprint; one whose digest does not fit its fields is refused."""
+    with open(path, encoding="utf-8") as file:
+        frozen = json.load(file)
+    if set(frozen.get("fields", {})) != set(FROZEN) or frozen.get("sha256") != digest(frozen["fields"]):
+        raise ValueError(f"{path} is no intact fingerprint")
+    return frozen
+
+
+def require_frozen(frozen: dict, current: dict) -> None:
+    """Fails where a field differs or is unresolved."""
+    if changed := drift(frozen["fields"], current["fields"]):
+        raise ValueError("differs from the frozen run: " + ", ".join(name for name, _, _ in changed))
+
+
 def drift(frozen: dict, current: dict) -> list[tuple[str, object, object]]:
     """(field, frozen, current) of every field that differs; unresolved frozen values never match."""
     names = sorted(set(frozen) | set(current))

@@ -16,8 +16,6 @@ from ..runtime import blocks, stored
 
 SPLITS = ("train", "warmup", "public", "private")
 LOW_OVERLAP, PROMPT_EXTRA = 0.05, 32
-#: Most bytes of needles searched at once by ``contained``.
-NEEDLE_BYTES = 4 << 20
 #: Most bytes of needles broadcast at once by ``holders``; the longest hashed prefix; bits of its table.
 HOLDER_BYTES, LONGEST_PREFIX, TABLE_BITS = 64 << 20, 64, 22
 
@@ -106,22 +104,6 @@ def contains_normal(hay: Column, needle: Column) -> Column:
     return contains_text(dedup_key(hay), dedup_key(needle))
 
 
-def contained(needles: DataFrame, texts: DataFrame, least_chars: int = 1) -> DataFrame:
-    """(needle_id, text_id): texts (text_id, text) that hold a needle (needle_id, needle) literally.
-
-    Needles are a stated set against all rows, distinct strings in size-checked blocks; a
-    text is kept only with its hits, so the join gives nothing but results.
-    """
-    strings = needles.where(F.col("needle").rlike(r"(?U)[^\s]") & (F.length("needle") >= least_chars)).select("needle").distinct()
-    total = strings.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
-    n = blocks(total, NEEDLE_BYTES / 2)
-    found = []
-    for part in range(n):
-        block = strings.where(F.pmod(F.xxhash64("needle"), F.lit(n)) == part)
-        found.append(texts.join(F.broadcast(block), F.contains("text", "needle")).select("text_id", "needle"))
-    return reduce(DataFrame.union, found).join(needles, "needle").select("needle_id", "text_id").distinct()
-
-
 def _window_hashes(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(width, hashes of all windows of that width along the last axis) for the widths 1, 2, 4 up to the longest prefix."""
     width, h = 1, codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -238,6 +220,11 @@ def case_support(cases: DataFrame) -> DataFrame:
     return cases.select("id", *[c.alias(name) for name, c in flags.items()], overlap.alias("overlap"))
 
 
+def case_documents(packed: DataFrame) -> DataFrame:
+    """(id, document_ids): the distinct documents whose blocks are shown, sorted."""
+    return packed.where(F.col("block").isNotNull()).groupBy("id").agg(F.array_sort(F.collect_set("document_id")).alias("document_ids"))
+
+
 def fit_status(question: Column, answer: Column, prompt: Column, max_tokens: int = 4096) -> Column:
     """Whether question and answer, then prompt and answer, stay within the token limit."""
     n = lambda c: F.size(legal_tokens(F.coalesce(c, F.lit(""))))

@@ -182,11 +182,42 @@ def ranked_whole(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 def markdown_cell(text: Column) -> Column:
     """Escaped for a Markdown table."""
     escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-    return F.regexp_replace(escaped, r"\r\n|\r|\n", "<br>")
+    return F.replace(F.replace(escaped, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("<br>"))
 
 
-def markdown_rows(report: DataFrame) -> DataFrame:
-    """(place, line): the report's table lines, metrics with six decimals."""
-    cells = [F.col("id"), F.col("status"), F.format_string("%.6f", "meteor"), F.format_string("%.6f", "rouge_l"), F.col("retrieval_status"), F.col("reference"), F.col("prediction")]
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(markdown_cell(c), F.lit("")) for c in cells]), F.lit(" |"))
-    return report.select("place", line.alias("line"))
+# The columns of the report.
+REPORT_COLUMNS = ("rank", "id", "meteor", "rouge_l", "error_type", "retrieval_status", "evidence_previews", "prediction", "reference")
+REPORT_HEAD = (
+    "| rank | id | METEOR | ROUGE-L | error_type | retrieval | evidence previews | prediction | reference |",
+    "|---:|---|---:|---:|---|---|---|---|---|",
+)
+
+
+def report_table(report: DataFrame, error_type: str = "OTHER") -> DataFrame:
+    """The report's nine columns as they are written to CSV."""
+    shown = F.transform(F.coalesce("previews", F.array().cast("array<struct<rank:int,chunk_id:string,document_id:string,preview:string>>")), lambda b: F.concat_ws(" ", F.concat(F.lit("["), b["rank"].cast("string"), F.lit("]")), b["chunk_id"], b["preview"]))
+    kind = F.coalesce(F.array_join("error_types", ", "), F.lit(error_type)) if "error_types" in report.columns else F.lit(error_type)
+    return report.select(
+        F.col("place").alias("rank"), "id", "meteor", "rouge_l", kind.alias("error_type"), "retrieval_status", F.array_join(shown, "\n").alias("evidence_previews"), "prediction", "reference",
+    )
+
+
+def markdown_lines(report: DataFrame, about: dict[str, str]) -> DataFrame:
+    """(line_no, line) of the whole Markdown report: title, facts, head and a row per case."""
+    table = report_table(report)
+    top = ["# Retrieval/Generation Error Report", "", *[f"- {k}: `{v}`" for k, v in about.items()], f"- cases: `{report.count()}`", "", *REPORT_HEAD]
+    metric = lambda c: F.coalesce(F.format_string("%.6f", c), F.lit(""))
+    cells = [
+        F.col("rank").cast("string"), markdown_cell(F.col("id")), F.when(F.col("meteor").isNotNull(), metric("meteor")), F.when(F.col("rouge_l").isNotNull(), metric("rouge_l")),
+        markdown_cell(F.col("error_type")), markdown_cell(F.col("retrieval_status")), markdown_cell(F.col("evidence_previews")),
+        markdown_cell(F.coalesce(F.when(F.col("prediction") != "", F.col("prediction")), F.lit("<missing>"))), markdown_cell(F.col("reference")),
+    ]
+    rows = table.select((F.col("rank") + len(top)).alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |")).alias("line"))
+    head = report.sparkSession.createDataFrame([(n + 1, line) for n, line in enumerate(top)], "line_no bigint, line string")
+    return head.unionByName(rows)
+
+
+def metrics_report(scores: DataFrame, **about: str) -> dict:
+    """What a metrics file holds: version, facts, counts and macro means (driver: one row)."""
+    row = macro(scores).first().asDict()
+    return {"schema_version": "lexforge.metrics.1", **about, **row}

@@ -59,19 +59,25 @@ def fingerprint(**config) -> str:
 
 
 def store(index: Index, folder: str, *, overwrite: bool = False, **config) -> str:
-    """Writes the tables under a folder named by the fingerprint; an existing one is kept unless told."""
+    """Writes the tables under a folder named by the fingerprint; an existing one is kept unless told.
+
+    What a broken-off write left behind is no index and is written over.
+    """
     key = fingerprint(version=INDEX_VERSION, **config)
     path = f"{folder}/{key}"
-    mode = "overwrite" if overwrite else "errorifexists"
+    if not overwrite and load(index.postings.sparkSession, folder, **config)[1] != "index_missing":
+        raise FileExistsError(path)
+    mode = "overwrite"
     index.postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode(mode).parquet(f"{path}/postings")
     index.lengths.write.mode(mode).parquet(f"{path}/lengths")
     index.df.write.mode(mode).parquet(f"{path}/df")
+    # statistics come last: a folder without them is no index, and may be written over
     index.stats.withColumn("fingerprint", F.lit(key)).withColumn("version", F.lit(INDEX_VERSION)).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
     return path
 
 
 def load(spark: SparkSession, folder: str, **config) -> tuple[Index | None, str]:
-    """(index, status): 'hit', or no index with 'index_missing' or 'index_key_mismatch'."""
+    """(index, status): 'hit', or no index with 'index_missing', 'index_key_mismatch' or 'index_inconsistent'."""
     key = fingerprint(version=INDEX_VERSION, **config)
     path = f"{folder}/{key}"
     try:
@@ -83,6 +89,9 @@ def load(spark: SparkSession, folder: str, **config) -> tuple[Index | None, str]
     if stats.where(F.col("fingerprint") != key).limit(1).count():
         return None, "index_key_mismatch"
     read = lambda name: spark.read.parquet(f"{path}/{name}")
+    facts = stats.first()
+    if read("lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first() != (facts["n_docs"], facts["total_tokens"]) or read("df").count() != facts["vocabulary"]:
+        return None, "index_inconsistent"
     return Index(read("postings"), read("lengths"), read("df"), stats.drop("fingerprint", "version")), "hit"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import hashlib
 import json
 import re
@@ -84,6 +85,17 @@ def redact(message: str) -> str:
     return re.sub(r"(?i)(bearer\s+|(?:api[_-]?key|token|secret|authorization)[\"'\s:=]+)[^\s\"',}]+", r"\1<redacted>", message)
 
 
+def network_code(error: BaseException) -> str:
+    """The code of a failed connection, whatever wraps it."""
+    while isinstance(error, urllib.error.URLError) and isinstance(error.reason, BaseException):
+        error = error.reason
+    if isinstance(error, TimeoutError) or getattr(error, "errno", None) in (errno.ETIMEDOUT, 10060):
+        return "LLM_TIMEOUT"
+    if isinstance(error, (ConnectionResetError, ConnectionAbortedError)) or getattr(error, "errno", None) in (errno.ECONNRESET, errno.ECONNABORTED, 10053, 10054):
+        return "LLM_CONNECTION_RESET"
+    return "LLM_TRANSPORT_ERROR"
+
+
 @dataclass
 class ChatClient:
     """POSTs chat completions to an OpenAI-compatible or Ollama server, with retries and back-off."""
@@ -96,6 +108,7 @@ class ChatClient:
     retries: int = 2
     backoff: float = 0.5
     style: str = "openai"
+    needs_key: bool = False
     sleep: Callable[[float], None] = time.sleep
     transport: Callable[[str, bytes, dict, float], bytes] | None = None
     headers: dict = field(default_factory=dict)
@@ -115,16 +128,14 @@ class ChatClient:
         try:
             reply = json.loads(self._send(json.dumps(ask).encode(), headers))
         except urllib.error.HTTPError as e:
-            code = "LLM_AUTH_ERROR" if e.code in (401, 403) else "LLM_RATE_LIMITED" if e.code == 429 else "LLM_SERVER_ERROR" if e.code >= 500 else "LLM_REQUEST_FAILED"
+            code = "LLM_AUTH_ERROR" if e.code in (401, 403) else "LLM_RATE_LIMITED" if e.code == 429 else "LLM_SERVER_ERROR" if e.code >= 500 else "LLM_PROVIDER_ERROR"
             raise ProviderError(code, redact(str(e))) from None
-        except TimeoutError as e:
-            raise ProviderError("LLM_TIMEOUT", redact(str(e))) from None
-        except ConnectionResetError as e:
-            raise ProviderError("LLM_CONNECTION_RESET", redact(str(e))) from None
-        except (OSError, urllib.error.URLError) as e:
-            raise ProviderError("LLM_TRANSPORT_ERROR", redact(str(e))) from None
+        except OSError as e:
+            raise ProviderError(network_code(e), redact(str(e))) from None
         except ValueError:
             raise ProviderError("LLM_INVALID_RESPONSE") from None
+        except Exception as e:  # noqa: BLE001 - a transport may raise anything
+            raise ProviderError("LLM_REQUEST_FAILED", redact(str(e))) from None
         try:
             text = reply["message"]["content"] if self.style == "ollama" else reply["choices"][0]["message"]["content"]
         except (KeyError, IndexError, TypeError):
@@ -137,6 +148,8 @@ class ChatClient:
         """(answer, retries used)."""
         if not prompt.strip():
             raise ProviderError("EMPTY_PROMPT")
+        if self.needs_key and not (self.api_key or "").strip():
+            raise ProviderError("MISSING_API_KEY")
         for attempt in range(self.retries + 1):
             try:
                 return self._once(prompt), attempt
@@ -179,7 +192,8 @@ def mock_generate(prompts: DataFrame, responses: DataFrame | None = None) -> Dat
         answer = F.coalesce("_r", mock_response(F.col("prompt")))
     else:
         answer = mock_response(F.col("prompt"))
+    code = F.when(blank, F.lit("EMPTY_PROMPT")).when(~answer.rlike(r"(?U)[^\s]"), F.lit("INVALID_MOCK_RESPONSE"))
     return rows.select(
-        "id", F.when(~blank, answer).alias("raw_answer"), F.when(blank, "error").otherwise("success").alias("status"),
-        F.when(blank, F.lit("EMPTY_PROMPT")).alias("error_code"), F.when(~blank, F.lit(0)).alias("retries"), F.lit(0.0).alias("latency_ms"),
+        "id", F.when(code.isNull(), answer).alias("raw_answer"), F.when(code.isNull(), "success").otherwise("error").alias("status"),
+        code.alias("error_code"), F.when(code.isNull(), F.lit(0)).alias("retries"), F.lit(0.0).alias("latency_ms"),
     )

@@ -31,18 +31,19 @@ def _rerank(hits: DataFrame, score: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def noop(hits: DataFrame) -> DataFrame:
-    """Unchanged; ``used`` is false and there is no rerank score."""
-    return hits.withColumns({"rerank_score": F.lit(None).cast("double"), "used": F.lit(False), "fallback_reason": F.lit("reranking_disabled")})
+def noop(hits: DataFrame, reason: str = "reranking_disabled") -> DataFrame:
+    """Unchanged; ``used`` is false, with the reason, and there is no rerank score."""
+    return hits.withColumns({"rerank_score": F.lit(None).cast("double"), "used": F.lit(False), "fallback_reason": F.lit(reason)})
 
 
 def mock(hits: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Scores (chunk_id, score) from a table, 1 / rank where it has none."""
     default = F.lit(1.0) / F.col("rank")
+    shown = {"used": F.lit(True), "fallback_reason": F.lit(None).cast("string")}
     if scores is None:
-        return _rerank(hits, default).withColumn("used", F.lit(True))
+        return _rerank(hits, default).withColumns(shown)
     given = scores.select("chunk_id", F.col("score").alias("_given"))
-    return _rerank(hits.join(given, "chunk_id", "left"), F.coalesce("_given", default)).drop("_given").withColumn("used", F.lit(True))
+    return _rerank(hits.join(given, "chunk_id", "left"), F.coalesce("_given", default)).drop("_given").withColumns(shown)
 
 
 def by_vectors(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -89,6 +90,28 @@ def create(name: str, **options) -> Reranker:
     return lambda hits: known[name](hits, **options)
 
 
+def for_profile(name: str, model: str, questions: DataFrame, chunks: DataFrame) -> Reranker:
+    """The reranker a profile names; a model that cannot be loaded leaves the order as it is, with the reason."""
+    if name == "none":
+        return noop
+    if name == "mock":
+        return create("mock")
+    if name != "semantic":
+        raise ValueError(f"unknown reranker {name!r}")
+    try:
+        import sentence_transformers  # noqa: F401
+    except ImportError:
+        return lambda hits: noop(hits, "reranker_unavailable")
+
+    def encoder() -> Callable[[list[str]], list[list[float]]]:
+        from sentence_transformers import SentenceTransformer
+
+        loaded = SentenceTransformer(model)
+        return lambda texts: loaded.encode(texts, normalize_embeddings=True).tolist()
+
+    return lambda hits: semantic(hits, questions, chunks, encoder)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """(query_id, vec_id, rank, score): exact nearest vectors by cosine for a stated query set.
 
@@ -106,7 +129,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "vec_id", "rank", "score")
 
 
-def status(hits: DataFrame) -> DataFrame:
-    """One row: whether reranking was used ('true', 'false', 'mixed', 'not_run') and the distinct reasons."""
+def status(hits: DataFrame, *by: str) -> DataFrame:
+    """For each group whether reranking was used ('true', 'false', 'mixed', 'not_run') and the distinct reasons."""
     used = F.when(F.count("used") == 0, "not_run").when(F.bool_and("used"), "true").when(~F.bool_or("used"), "false").otherwise("mixed")
-    return hits.agg(used.alias("used"), F.array_sort(F.collect_set("fallback_reason")).alias("reasons"))
+    return hits.groupBy(*by).agg(used.alias("used"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("fallback_reason")).alias("reasons"))

@@ -92,13 +92,13 @@ def inspect(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFra
 
 
 def reader_candidates(cases: DataFrame, hits: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(id, position, origin, context): the case's own context first, then retrieved ones not seen before."""
-    own = cases.select("id", F.lit(0).alias("place"), F.lit("original").alias("origin"), "context")
-    found = hits.join(contexts, "case_id").select("id", F.col("rank").alias("place"), F.lit("train_retrieval").alias("origin"), "context")
+    """(id, position, origin, source_case_id, context): the case's own context first, then retrieved ones not seen before."""
+    own = cases.select("id", F.lit(0).alias("place"), F.lit("original").alias("origin"), F.col("id").alias("source_case_id"), "context")
+    found = hits.join(contexts, "case_id").select("id", F.col("rank").alias("place"), F.lit("train_retrieval").alias("origin"), F.col("case_id").alias("source_case_id"), "context")
     first = F.row_number().over(Window.partitionBy("id", F.sha2("context", 256)).orderBy("place"))
     kept = own.unionByName(found).withColumn("copy", first).where("copy = 1")
     place = F.row_number().over(Window.partitionBy("id").orderBy("place")) - 1
-    return kept.select("id", place.alias("position"), "origin", "context")
+    return kept.select("id", place.alias("position"), "origin", "source_case_id", "context")
 
 
 def best_span(candidates: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, chunking, evaluation, evidence, index, prompting, rerank, retrieval, submission
+from ..operators import audit, chunking, evaluation, evidence, index, prompting, reader, rerank, retrieval, submission
 from ..runtime import stored, table
 from ..schemas import chunk_rules, hit_rules, violations
+from . import pipeline
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,14 @@ def not_blank(x: str) -> str:
     return f"regexp_matches({x}, '[^{X.SPACE}]')"
 
 
+def _strip_only(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{X.SPACE}]+', ''), '[{X.SPACE}]+$', '')"
+
+
+def one_line(x: str) -> str:
+    return _strip_only(f"replace(replace({x}, chr(13), ' '), chr(10), ' ')")
+
+
 # ---- text and index ------------------------------------------------------------------------
 
 @query(f"{T.ctes('c')} select chunk_id, len(t)::bigint n_tokens, len(list_distinct(t))::bigint n_distinct from (select chunk_id, {legal('retrieval_text')} t from c)")
@@ -178,9 +187,9 @@ def reader_bm25_topk(spark, d):
     return _reader_hits(spark, d).withColumn("score", F.round("score", 6))
 
 
-_CANDIDATES = f"""{_READER}, own as (select id, 0 place, 'original' origin, answer context from q where {_ASKED} and answer is not null),
-allc as (select * from own union all select id, rk, 'train_retrieval', k.answer from top join k using (case_id) where id in (select id from own)),
-ded as (select *, row_number() over (partition by id, context order by place) cp from allc), cand as (select id, (row_number() over (partition by id order by place) - 1) position, origin, context from ded where cp = 1)"""
+_CANDIDATES = f"""{_READER}, own as (select id, 0 place, 'original' origin, id source_case_id, answer context from q where {_ASKED} and answer is not null),
+allc as (select * from own union all select id, rk, 'train_retrieval', case_id, k.answer from top join k using (case_id) where id in (select id from own)),
+ded as (select *, row_number() over (partition by id, context order by place) cp from allc), cand as (select id, (row_number() over (partition by id order by place) - 1) position, origin, source_case_id, context from ded where cp = 1)"""
 
 
 def _candidates(spark, d):
@@ -189,16 +198,22 @@ def _candidates(spark, d):
     return retrieval.reader_candidates(q, hits, _cases(spark, d).select("case_id", "context"))
 
 
-@query(f"{_CANDIDATES} select id, position::int as position, origin, context from cand")
+@query(f"{_CANDIDATES} select id, position::int as position, origin, source_case_id, context from cand")
 def reader_candidates(spark, d):
     return _candidates(spark, d)
 
 
-@query(f"{_CANDIDATES} select id, position::int as position, left(context, 50) answer, confidence from (select *, round(1.0 / (1 + length(context) // 100), 6) confidence from cand) qualify row_number() over (partition by id order by confidence desc, position) = 1")
+def _by_length(question: str, context: str) -> reader.Span:
+    """A stand-in for a model: the opening of the context, the surer the shorter it is."""
+    return reader.Span(context[:50], round(1.0 / (1 + len(context) // 100), 6))
+
+
+@query(f"{_CANDIDATES} select id, left(context, 50) answer, confidence, source_case_id, origin source_origin from (select *, round(1.0 / (1 + length(context) // 100), 6) confidence from cand) qualify row_number() over (partition by id order by confidence desc, position) = 1")
 def reader_best(spark, d):
-    c = _candidates(spark, d)
-    spans = c.select("id", "position", F.left("context", F.lit(50)).alias("answer"), F.round(F.lit(1.0) / (1 + F.floor(F.length("context") / 100)), 6).alias("confidence"))
-    return retrieval.best_span(spans)
+    """Own and retrieved contexts read by a mock reader, the most confident span of each question."""
+    q = _asked(spark, d).where("answer is not null").select("id", "question", F.col("answer").alias("context"))
+    done = reader.run(q, reader.mock(_by_length), "tuned_bm25_reader", stored(_cases(spark, d)), 5)
+    return done.predictions.select("id", "answer", "confidence", "source_case_id", "source_origin")
 
 
 # ---- hits, reranking, evidence -------------------------------------------------------------
@@ -208,7 +223,7 @@ def _runs(spark, d):
     return T.hits(spark, d).withColumn("id", F.concat_ws("|", "id", "method"))
 
 
-_RUNS = T.ctes("h", "c", "d") + ", r as (select id || '|' || method id, chunk_id, document_id, source_path, rank, bm25_score, rerank_score from h)"
+_RUNS = T.ctes("h", "c", "d", "q") + ", r as (select id || '|' || method id, chunk_id, document_id, source_path, rank, bm25_score, rerank_score from h)"
 
 
 @query(f"{_RUNS} select id, chunk_id, row_number() over (partition by id order by rerank_score desc, chunk_id, old)::int rank, bm25_score, rerank_score from (select *, round(1.0 / rank, 9) rerank_score, rank old from (select * exclude (rerank_score) from r))")
@@ -233,12 +248,11 @@ def nearest_vectors(spark, d):
 
 @query(
     f"{T.ctes('h')}, s as (select method, case when rerank_score is null then 'reranker_unavailable' end reason, rerank_score is not null used from h) select method, "
-    "case when bool_and(used) then 'true' when not bool_or(used) then 'false' else 'mixed' end used, count(*)::bigint n from s group by 1"
+    "case when bool_and(used) then 'true' when not bool_or(used) then 'false' else 'mixed' end used, count(*)::bigint n, coalesce(list_sort(list(distinct reason) filter (reason is not null)), []) reasons from s group by 1"
 )
 def rerank_status(spark, d):
-    r = T.hits(spark, d).withColumns({"used": F.col("rerank_score").isNotNull()})
-    used = F.when(F.bool_and("used"), "true").when(~F.bool_or("used"), "false").otherwise("mixed")
-    return r.groupBy("method").agg(used.alias("used"), F.count(F.lit(1)).alias("n"))
+    shown = {"used": F.col("rerank_score").isNotNull(), "fallback_reason": F.when(F.col("rerank_score").isNull(), "reranker_unavailable")}
+    return rerank.status(T.hits(spark, d).withColumns(shown), "method")
 
 
 @query(
@@ -248,31 +262,46 @@ def dedup_exact(spark, d):
     return evidence.exact_duplicates(_runs(spark, d), T.chunks(spark, d)).select("id", "chunk_id", "rank", "kept_chunk_id", "dropped")
 
 
-@query()
-def dedup_greedy(spark, d):
-    return evidence.deduplicate(_runs(spark, d), T.chunks(spark, d))
-
-
-_PAIRS = f"""{_RUNS}, two as (select id, max(chunk_id) filter (rank = 1) a, max(chunk_id) filter (rank = 2) b from r group by 1),
-pr as (select distinct a, b from two where a is not null and b is not null and a <> b),
-w as (select chunk_id, string_split({key('retrieval_text')}, ' ') t from c)"""
+#: Pairs of hits of one question from the same place, and their longest common run.
+_PLACES = f"""{_RUNS}, t as (select chunk_id, {key('retrieval_text')} key, document_id || chr(1) || source_path || chr(1) || coalesce(source_member, '') || chr(1) || {key("coalesce(section_label, '')")} place from c),
+hp as (select r.id, r.chunk_id, r.rank, key, place, row_number() over (partition by r.id order by rank, r.chunk_id) n from r join t using (chunk_id)),
+pr as (select distinct x.chunk_id a, y.chunk_id b from hp x join hp y on x.id = y.id and x.place = y.place and x.chunk_id < y.chunk_id),
+w as (select chunk_id, string_split(key, ' ') t from t),
+ta as (select a, b, generate_subscripts(t, 1) i, unnest(t) tok from pr join w on chunk_id = a), tb as (select a, b, generate_subscripts(t, 1) j, unnest(t) tok from pr join w on chunk_id = b),
+mt as (select a, b, i, i - j dd from ta join tb using (a, b, tok)), isl as (select a, b, dd, i - row_number() over (partition by a, b, dd order by i) g from mt),
+run as (select a, b, count(*) n from isl group by a, b, dd, g), best as (select a, b, max(n) n from run group by 1, 2),
+share as (select a, b, coalesce(n, 0)::bigint longest, coalesce(n, 0) / least(len(wa.t), len(wb.t)) ratio from pr left join best using (a, b) join w wa on wa.chunk_id = a join w wb on wb.chunk_id = b)"""
 
 
-@query(
-    f"""{_PAIRS}, ta as (select a, b, generate_subscripts(t, 1) i, unnest(t) tok from pr join w on chunk_id = a), tb as (select a, b, generate_subscripts(t, 1) j, unnest(t) tok from pr join w on chunk_id = b),
-m as (select a, b, i, i - j dd from ta join tb using (a, b, tok)), isl as (select a, b, dd, i - row_number() over (partition by a, b, dd order by i) g from m),
-run as (select a, b, count(*) n from isl group by a, b, dd, g), best as (select a, b, max(n) n from run group by 1, 2)
-select a, b, coalesce(n, 0)::bigint longest, round(coalesce(n, 0) / least(len(wa.t), len(wb.t)), 6) ratio from pr left join best using (a, b) join w wa on wa.chunk_id = a join w wb on wb.chunk_id = b"""
-)
+@query(f"{_PLACES} select a, b, longest, round(ratio, 6) ratio from share")
 def contiguous_overlap(spark, d):
-    """Longest common run of the first two hits of every question and method, distinct pairs once."""
-    r = _runs(spark, d).where("rank <= 2").groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("chunk_id"))).alias("b"))
-    w = T.chunks(spark, d).select("chunk_id", F.split(X.dedup_key(F.col("retrieval_text")), " ").alias("t"))
-    pairs = r.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
+    """Longest common run of all hits of one question that de-duplication compares, distinct pairs once."""
+    c = T.chunks(spark, d)
+    key = X.dedup_key(F.col("retrieval_text"))
+    place = ("document_id", "source_path", "member", "label")
+    t = c.select("chunk_id", "document_id", "source_path", F.coalesce("source_member", F.lit("")).alias("member"), X.dedup_key(F.coalesce("section_label", F.lit(""))).alias("label"))
+    placed = stored(_runs(spark, d).select("id", "chunk_id").distinct().join(t, "chunk_id"))
+    a, b = placed.withColumnRenamed("chunk_id", "a"), placed.withColumnRenamed("chunk_id", "b")
+    pairs = a.join(b, ["id", *place]).where("a < b").select("a", "b").distinct()
+    w = stored(c.select("chunk_id", F.split(key, " ").alias("t")))
     pairs = pairs.join(w.select(F.col("chunk_id").alias("a"), F.col("t").alias("a_tokens")), "a").join(w.select(F.col("chunk_id").alias("b"), F.col("t").alias("b_tokens")), "b")
     return evidence.overlap_pairs(pairs).select("a", "b", F.col("longest").cast("bigint").alias("longest"), F.round("ratio", 6).alias("ratio"))
 
 
+_DEDUP = f"""{_PLACES.replace('with ', 'with recursive ', 1)}, near as (select x, list({{'y': y, 'ratio': ratio}}) ys from (select a x, b y, ratio from share union all select b, a, ratio from share) where ratio >= 0.8 group by 1),
+hh as (select hp.*, coalesce(ys, []) ys from hp left join near on x = hp.chunk_id),
+fold as (select id, 0::bigint n, null::varchar chunk_id, null::int rank, []::struct(c varchar, k varchar, p varchar)[] kept, null::varchar duplicate_of, null::varchar reason, null::double ratio from (select distinct id from hh)
+  union all select id, n, chunk_id, rank, case when e is null and o is null then list_append(kept, {{'c': chunk_id, 'k': key, 'p': place}}) else kept end, coalesce(e, o), case when e is not null then 'exact_normalized_duplicate' when o is not null then 'same_source_article_high_overlap' end,
+    case when e is null and o is not null then list_filter(ys, lambda z: z.y = o)[1].ratio end
+  from (select hh.id, hh.n, hh.chunk_id, hh.rank, hh.key, hh.place, hh.ys, kept, list_filter(kept, lambda z: z.k = hh.key)[1].c e, list_filter(kept, lambda z: z.p = hh.place and list_contains(list_transform(hh.ys, lambda q: q.y), z.c))[1].c o from fold join hh on hh.id = fold.id and hh.n = fold.n + 1)),
+ded as (select id, chunk_id, rank, reason is null kept, duplicate_of, reason, round(ratio, 6) overlap_ratio from fold where n > 0)"""
+
+
+@query(f"{_DEDUP} select * from ded")
+def dedup_greedy(spark, d):
+    return evidence.deduplicate(_runs(spark, d), T.chunks(spark, d)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
+
+
 def _packed(spark, d):
     c = stored(T.chunks(spark, d))
     runs = stored(_runs(spark, d).select("id", "chunk_id", "rank"))
@@ -280,12 +309,38 @@ def _packed(spark, d):
     return evidence.pack(kept, c, T.documents(spark, d))
 
 
-@query()
+_BREAK = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+_PACK = f"""{_DEDUP}, chosen as (select id, chunk_id, rank, row_number() over (partition by id order by rank, chunk_id) n from ded where kept qualify n <= 4),
+f0 as (select chosen.*, c.document_id, coalesce(raw_text, '') raw, {_strip_only("coalesce(section_label, '')")} hint, coalesce(nullif(section_label, ''), 'Không xác định') section, c.source_member, c.source_path, d.id did, d.name dname, coalesce(nullif(d.link, ''), d.source_path) dsource
+  from chosen join c using (chunk_id) left join d on d.id = c.document_id),
+f1 as (select *, {one_line("case when did is not null then dname else coalesce(nullif(source_member, ''), string_split(source_path, '/')[-1]) end")} nm, {one_line('section')} sec,
+  {one_line("case when did is not null then dsource when source_member <> '' then source_path || '::' || source_member else source_path end")} src, regexp_replace(raw, '^[\\r\\n \\t]+', '') body from f0),
+f2 as (select *, chr(10) || 'Văn bản: ' || coalesce(nm, '') || chr(10) || 'Mã tài liệu: ' || {one_line('document_id')} || chr(10) || 'Điều/Khoản: ' || coalesce(sec, '') || chr(10) || 'Nguồn: ' || coalesce(src, '') || chr(10) || 'Nội dung:' head,
+  regexp_extract(body, '^([^{_BREAK[1:]}*)', 1) line, regexp_extract(body, '^[^{_BREAK[1:]}*(\\r\\n|{_BREAK}|)', 1) mk from f1),
+f3 as (select *, substring(body, (length(line) + length(mk) + 1)::int) behind, case when replace(replace(mk, chr(13), ''), chr(10), '') = '' then line else line || mk end first from f2),
+f4 as (select *, behind = '' and hint <> '' and body <> '' by_hint, starts_with({folded('first')}, {folded('hint')}) opens from f3),
+f5 as (select id, chunk_id, document_id, rank, n, raw, head, case when by_hint then hint else first end ld, case when not by_hint then behind when opens then substring(first, (length(hint) + 1)::int) else first end tl from f4),
+pk as (select id, 0::bigint n, null::varchar chunk_id, null::varchar document_id, null::int rank, 0::bigint spent, 0::int shown, []::varchar[] docs, null::varchar state, null::varchar reason, null::varchar block from (select distinct id from f5)
+  union all select id, n, chunk_id, document_id, rank, case when blk is null then spent else 4000 - free + length(blk) end, case when blk is null then shown else shown + 1 end, case when blk is null then docs else list_append(docs, document_id) end,
+    case when blk is null then 'dropped' when whole then 'included' else 'truncated' end, case when blk is null then case when many then 'max_chunks_per_document' else 'max_total_chars' end end, blk
+  from (select *, case when many then null when whole then full_block when length(ld) > 0 and room >= 0 then hd || chr(10) || ld || left(tl, room::int) || chr(10) || '… [ĐÃ CẮT PHẦN ĐUÔI]' end blk
+    from (select *, length(full_block) <= free whole, free - length(hd) - 1 - {len(evidence.TRUNCATION_MARK)} - length(ld) room from (select *, hd || chr(10) || raw full_block
+      from (select f5.*, pk.spent, pk.shown, pk.docs, 4000 - pk.spent - case when pk.shown > 0 then 2 else 0 end free, len(list_filter(pk.docs, lambda z: z = f5.document_id)) >= 2 many, '[TRÍCH ĐOẠN ' || (pk.shown + 1) || ']' || head hd from pk join f5 on f5.id = pk.id and f5.n = pk.n + 1))))),
+packed as (select id, chunk_id, document_id, rank, state, reason, case when block is not null then shown end position, block from pk where n > 0)"""
+
+
+@query(f"{_PACK} select id, chunk_id, document_id, rank, state, reason, position::int as position, length(block)::int block_chars, sha256(block) block_sha256 from packed")
 def pack_evidence(spark, d):
-    return _packed(spark, d).drop("block")
+    return _packed(spark, d).select("id", "chunk_id", "document_id", "rank", "state", "reason", "position", F.length("block").alias("block_chars"), F.sha2("block", 256).alias("block_sha256"))
 
 
-@query()
+_SHOWN = f"{_PACK}, ev as (select id, string_agg(block, chr(10) || chr(10) order by position) ev, count(*)::int n_included from packed where block is not null group by 1)"
+
+
+@query(
+    f"{_SHOWN}, pt as (select ev.id, n_included, replace(replace({_quote(RAG.text)}, '{{question}}', question), '{{evidence}}', ev) prompt from ev join q on q.id = string_split(ev.id, '|')[1]) "
+    f"select id, length(prompt)::int prompt_chars, sha256(prompt) prompt_sha256, n_included from pt".replace("pt as", "pt as")
+)
 def rag_prompts(spark, d):
     """Retrieve, de-duplicate, pack and render: digest and length of the prompt of every question and method."""
     e = evidence.render(_packed(spark, d)).where("evidence <> ''")
@@ -295,10 +350,10 @@ def rag_prompts(spark, d):
     return rows.select("id", F.length(prompt).alias("prompt_chars"), F.sha2(prompt, 256).alias("prompt_sha256"), F.size("included_ids").alias("n_included"))
 
 
-@query(f"{T.ctes('h', 'c')} select h.id, method, list_sort(list(distinct c.document_id)) document_ids from h join c using (chunk_id) where rank <= 4 group by 1, 2")
+@query(f"{_PACK} select id, list_sort(list(distinct document_id)) document_ids from packed where block is not null group by 1")
 def evidence_documents(spark, d):
-    c = T.chunks(spark, d).select("chunk_id", F.col("document_id").alias("doc"))
-    return T.hits(spark, d).where("rank <= 4").join(c, "chunk_id").groupBy("id", "method").agg(F.array_sort(F.collect_set("doc")).alias("document_ids"))
+    """Distinct documents of the packed evidence."""
+    return audit.case_documents(_packed(spark, d))
 
 
 @query(f"{T.ctes('h', 'c', 'd')} select method, count(*)::bigint n_hits, count(*) filter (c.chunk_id is null)::bigint n_without_chunk, count(*) filter (c.chunk_id is not null and d.id is null)::bigint n_without_document from h left join c using (chunk_id) left join d on d.id = c.document_id group by 1")
@@ -369,10 +424,6 @@ def _unfenced(x: str) -> str:
     return f"regexp_replace({x}, '(?s)\\A[ \\t]*```[A-Za-z0-9_-]*[ \\t]*\\n(.*)\\n[ \\t]*```[ \\t]*\\z', '\\1')"
 
 
-def _strip_only(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^[{X.SPACE}]+', ''), '[{X.SPACE}]+$', '')"
-
-
 @query(
     f"{T.ctes('p')}, a as (select id, method, {_strip_only('regexp_replace(answer, chr(13) || chr(10) || chr(63), chr(10), ' + chr(39) + 'g' + chr(39) + ')')} t from p where answer is not null), "
     f"f1 as (select id, method, {_strip_only(_unfenced('t'))} f from a), p1 as (select id, method, {_strip_only(_ROUND)} t from f1), f2 as (select id, method, {_strip_only(_unfenced('t'))} f from p1) "
@@ -418,7 +469,14 @@ def _scores(spark, d):
     return stored(evaluation.score_cases(p)).join(p.select("id", "method"), "id"), p
 
 
-@query()
+_LCS = f"""{_EV.replace('with ', 'with recursive ', 1)}, tk as (select id, rt, pt from s where status = 'scored'),
+dp as (select id, 0 i, unnest(range(1, len(pt) + 1)) j, 0 v from tk
+  union all select id, i + 1, j, max(greatest(v, diagonal)) over (partition by id order by j) from (select dp.id, i, j, v, coalesce(lag(v) over (partition by dp.id order by j), 0) + (rt[i + 1] = pt[j])::int diagonal from dp join tk using (id) where i < len(rt))),
+lc as (select dp.id, max(v) lcs from dp join tk using (id) where i = len(rt) group by 1),
+sc as (select ms.id, method, ms.status, meteor, case when ms.status = 'scored' then coalesce(2.0 * lcs / (len(rt) + len(pt)), 0) end rouge_l from ms left join tk using (id) left join lc using (id))"""
+
+
+@query(f"{_LCS} select id, method, status, round(meteor, 6) meteor, round(rouge_l, 6) rouge_l from sc")
 def score_cases(spark, d):
     s, _ = _scores(spark, d)
     return s.select("id", "method", "status", F.round("meteor", 6).alias("meteor"), F.round("rouge_l", 6).alias("rouge_l"))
@@ -445,16 +503,26 @@ def align_issues(spark, d):
     return evaluation.alignment_issues(_gold(spark, d), T.predictions(spark, d).select("id", "answer").dropDuplicates(["id"]))
 
 
-@query()
-def error_report(spark, d):
-    """Worst cases first, with the state of their retrieval."""
+def _rated(spark, d):
+    """The report of all cases with the state of their packed evidence."""
     s, p = _scores(spark, d)
     refs, preds = p.select("id", F.col("reference").alias("answer")), p.select("id", F.col("prediction").alias("answer"))
-    blocks = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_id", F.col("retrieval_text").alias("block"))))
-    c = T.chunks(spark, d).select("chunk_id", "retrieval_text")
-    packed = _runs(spark, d).where("rank <= 4").join(c, "chunk_id").groupBy("id").agg(blocks.alias("blocks")).withColumn("status", F.lit("success"))
-    report = evaluation.error_report(s, refs, preds, evaluation.retrieval_status(packed))
-    return report.select("place", "id", "status", F.round("meteor", 6).alias("meteor"), F.round("rouge_l", 6).alias("rouge_l"), "retrieval_status", F.size("previews").alias("n_previews"))
+    shown = F.when(F.col("block").isNotNull(), F.struct("rank", "chunk_id", "document_id", "block"))
+    packed = _packed(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(shown)).alias("blocks")).withColumn("status", F.lit("success"))
+    return evaluation.error_report(s, refs, preds, evaluation.retrieval_status(packed))
+
+
+_REPORT = f"""{_PACK}, {_LCS[_LCS.index('a as ('):]}, np as (select id, count(block)::int n from packed group by 1),
+er1 as (select sc.*, case when n is null then 'not_available' when n = 0 then 'miss' else 'success' end retrieval_status, n from sc left join np using (id))"""
+
+
+@query(
+    f"{_REPORT.replace('h as (', 'p as (' + T.SQL['p'][len('p as ('):] + ', h as (', 1)} select row_number() over (order by m nulls first, coalesce(rl, -1), id) place, id, status, m meteor, rl rouge_l, retrieval_status, coalesce(n, -1) n_previews from (select *, round(meteor, 9) m, round(rouge_l, 9) rl from er1)".replace("m meteor, rl rouge_l", "round(m, 6) meteor, round(rl, 6) rouge_l")
+)
+def error_report(spark, d):
+    """Worst cases first, with the state of their retrieval."""
+    report = _rated(spark, d)
+    return report.select("place", "id", "status", F.round("meteor", 6).alias("meteor"), F.round("rouge_l", 6).alias("rouge_l"), "retrieval_status", F.coalesce(F.size("previews"), F.lit(-1)).alias("n_previews"))
 
 
 # ---- audits --------------------------------------------------------------------------------
@@ -501,14 +569,6 @@ def split_overlap(spark, d):
     return audit.split_overlaps(T.questions(spark, d))
 
 
-@query(f"{T.ctes('q', 'c')}, g as (select id, answer from q where split <> 'train' and {not_blank('answer')} and length(answer) >= 60) select distinct g.id question_id, c.chunk_id from g join c on contains(c.retrieval_text, g.answer)")
-def gold_in_chunks(spark, d):
-    """Held-out answers of at least a sentence that stand literally in a chunk; ``gold_leaks`` is the whole audit."""
-    g = T.questions(spark, d).where("split <> 'train'").select(F.col("id").alias("needle_id"), F.col("answer").alias("needle"))
-    c = T.chunks(spark, d).select(F.col("chunk_id").alias("text_id"), F.col("retrieval_text").alias("text"))
-    return audit.contained(g, stored(c), 60).select(F.col("needle_id").alias("question_id"), F.col("text_id").alias("chunk_id"))
-
-
 @query(
     f"{T.ctes('q', 'c')}, g as (select distinct answer from q where {not_blank('answer')}), x as (select chunk_id, coalesce(contains(retrieval_text, answer), false) t, contains(chunk_id, answer) or coalesce(contains(document_id, answer), false) "
     "or coalesce(contains(source_path, answer), false) or coalesce(contains(source_member, answer), false) or coalesce(contains(section_label, answer), false) f from c, g) "
@@ -525,20 +585,26 @@ def gold_leaks(spark, d):
     return audit.holders(g, c).withColumnRenamed("text_id", "chunk_id")
 
 
-_SUPPORT = f"""{T.ctes('q', 'h', 'c')}, f as (select h.id || '|' || method id, q.answer, c.retrieval_text ev from h join c using (chunk_id) join q on q.id = h.id where rank = 1 and q.answer is not null),
-o as (select id, {legal('answer')} a, {legal('ev')} e, answer, ev from f)"""
+_SUPPORT = f"""{T.ctes('q', 'h', 'c')}, f as (select h.id || '|' || method id, rank, q.answer, c.retrieval_text ev from h join c using (chunk_id) join q on q.id = h.id where q.answer is not null),
+o as (select id, rank, {legal('answer')} a, {legal('ev')} e, answer, ev from f)"""
 
 
-@query(f"{_SUPPORT} select id, coalesce(contains(ev, answer) and {not_blank('answer')}, false) exact, case when len(a) > 0 then round(len(list_intersect(list_distinct(a), e)) / len(list_distinct(a)), 6) end overlap from o")
+@query(f"{_SUPPORT} select id, rank, coalesce(contains(ev, answer) and {not_blank('answer')}, false) exact, case when len(a) > 0 then round(len(list_intersect(list_distinct(a), e)) / len(list_distinct(a)), 6) end overlap from o")
 def answer_support(spark, d):
-    """Support by the first hit alone; ``evidence_support`` measures the packed evidence."""
+    """Support by each hit alone; ``evidence_support`` measures the packed evidence."""
     q = T.questions(spark, d).where("answer is not null").select(F.col("id").alias("qid"), "answer")
     c = T.chunks(spark, d).select("chunk_id", F.col("retrieval_text").alias("ev"))
-    rows = _runs(spark, d).where("rank = 1").join(c, "chunk_id").withColumn("qid", F.split("id", r"\|")[0]).join(q, "qid")
-    return rows.select("id", audit.contains_text(F.col("ev"), F.col("answer")).alias("exact"), F.round(audit.token_overlap(F.col("answer"), F.col("ev")), 6).alias("overlap"))
+    rows = _runs(spark, d).join(c, "chunk_id").withColumn("qid", F.split("id", r"\|")[0]).join(q, "qid")
+    return rows.select("id", "rank", audit.contains_text(F.col("ev"), F.col("answer")).alias("exact"), F.round(audit.token_overlap(F.col("answer"), F.col("ev")), 6).alias("overlap"))
 
 
-@query()
+@query(
+    f"{_SHOWN}, up as (select packed.id, string_agg(c.raw_text, chr(10) order by position) filter (position <= 1) t1, string_agg(c.raw_text, chr(10) order by position) filter (position <= 3) t3 from packed join c using (chunk_id) where block is not null group by 1), "
+    f"ue as (select id rid, coalesce(ev, '') ev, coalesce(t1, '') t1, coalesce(t3, '') t3 from (select distinct id from r) u left join ev using (id) left join up using (id)), "
+    f"cs as (select rid id, q.answer, ev, t1, t3 from ue join q on q.id = string_split(rid, '|')[1] where q.answer is not null), "
+    f"tt as (select *, list_distinct({legal('answer')}) a, {legal('ev')} e from cs) "
+    f"select id, case when answer <> '' then contains(ev, answer) and {not_blank('answer')} end exact, case when answer <> '' then contains({key('ev')}, {key('answer')}) and {not_blank(key('answer'))} end normal, case when answer <> '' then contains(t1, answer) and {not_blank('answer')} end top1_exact, case when answer <> '' then contains({key('t1')}, {key('answer')}) and {not_blank(key('answer'))} end top1_normal, case when answer <> '' then contains(t3, answer) and {not_blank('answer')} end top3_exact, case when answer <> '' then contains({key('t3')}, {key('answer')}) and {not_blank(key('answer'))} end top3_normal, case when answer <> '' and ev <> '' then case when len(a) > 0 then round(len(list_intersect(a, e)) / len(a), 6) else 0 end end overlap from tt"
+)
 def evidence_support(spark, d):
     """Support of every answer by the rendered packed evidence of its question and method; beside it by the first one and three included chunks.
 
@@ -565,10 +631,9 @@ def fit_policy(spark, d):
 
 @query(f"{T.ctes('p')} select method, count(*)::bigint n, count(*) filter (status = 'error')::bigint n_errors, round(count(*) filter (status = 'error') / count(*), 6) error_rate, round(count(fallback_reason) / count(*), 6) fallback_rate, coalesce(list_sort(list(distinct fallback_reason) filter (fallback_reason is not null)), []) reasons from p group by 1")
 def run_counts(spark, d):
-    return T.predictions(spark, d).groupBy("method").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("n_errors"), F.round(F.count_if(F.col("status") == "error") / F.count(F.lit(1)), 6).alias("error_rate"),
-        F.round(F.count("fallback_reason") / F.count(F.lit(1)), 6).alias("fallback_rate"), F.array_sort(F.collect_set("fallback_reason")).alias("reasons"),
-    )
+    rounded = {c: F.round(c, 6) for c in ("error_rate", "fallback_rate")}
+    n = pipeline.counts(T.predictions(spark, d), "method").withColumns(rounded)
+    return n.select("method", F.col("n_cases").alias("n"), "n_errors", "error_rate", "fallback_rate", F.col("fallback_reasons").alias("reasons"))
 
 
 # ---- submission and manifests --------------------------------------------------------------
@@ -576,7 +641,7 @@ def run_counts(spark, d):
 _SUB = f"{T.ctes('q', 'p')}, e as (select id from q where split = 'public'), s as (select id, any_value(answer order by method) answer from p where method = 'direct' group by 1)"
 
 
-@query(f"{_SUB} select coalesce(e.id, s.id) id, case when s.id is null then 'MISSING_QUESTION_ID' when e.id is null then 'EXTRA_QUESTION_ID' when answer is null then 'ANSWER_NOT_STRING' else 'EMPTY_ANSWER' end code from e full join s on e.id = s.id where s.id is null or e.id is null or answer is null or not {not_blank('answer')}")
+@query(f"{_SUB} select coalesce(e.id, s.id) id, case when s.id is null then 'SUBMISSION_MISSING_QUESTION_ID' when e.id is null then 'SUBMISSION_EXTRA_QUESTION_ID' when answer is null then 'SUBMISSION_ANSWER_NOT_STRING' else 'SUBMISSION_EMPTY_ANSWER' end code from e full join s on e.id = s.id where s.id is null or e.id is null or answer is null or not {not_blank('answer')}")
 def submission_violations(spark, d):
     expected = T.questions(spark, d).where("split = 'public'").select("id", F.col("id").alias("pos"))
     rows = T.predictions(spark, d).where("method = 'direct'").select("id", F.col("id").alias("pos"), "answer")

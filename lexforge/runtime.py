@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+_own: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
 #: Largest side, in rows times columns, that may be broadcast by ``small``.
 BROADCAST_CELLS = 400_000
 
@@ -25,17 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one is set only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lexforge-")
-        spark.conf.set("spark.checkpoint.dir", folder) if _settable(spark) else None
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        # one machine: a folder of this session, removed with it
+        session = spark.sparkContext.applicationId
+        if session not in _own:
+            _own[session] = tempfile.mkdtemp(prefix="lexforge-")
+            atexit.register(shutil.rmtree, _own[session], ignore_errors=True)
+        folder = _own[session]
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def _settable(spark: SparkSession) -> bool:
-    return spark.conf.isModifiable("spark.checkpoint.dir")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder, with their lineage cut; survives lost executors."""
     shared_folder(df.sparkSession)
@@ -46,10 +53,21 @@ def stored(df: DataFrame) -> DataFrame:
     """Like ``cut`` but as a Parquet table, so that later reads prune columns and push filters."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables ``stored`` by this session; for the end of a run, when its results are written."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partitioned by the keys into the session's number of shuffle partitions.
 

@@ -159,6 +159,21 @@ def read_eval_records(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(binary(spark, path), "id string, answer string", ["id", "answer"], lambda data, p: parse.eval_records(data, _is_lines(p)))
 
 
+def records(spark: SparkSession, values) -> DataFrame:
+    """(id, answer) of a mapping from id to answer, or of (id, answer) pairs or records; the rules of the files hold."""
+    pairs = list(values.items()) if hasattr(values, "items") else [(v["id"], v.get("answer", v.get("prediction", v.get("reference")))) if isinstance(v, dict) else tuple(v) for v in values]
+    rows = []
+    for id_, answer in pairs:
+        if id_ is None or isinstance(id_, bool) or not str(id_).strip():
+            raise ValueError(f"no id: {id_!r}")
+        if answer is not None and not isinstance(answer, str):
+            raise ValueError(f"answer of {id_} is no text")
+        rows.append((str(id_), answer))
+    if len({r[0] for r in rows}) != len(rows):
+        raise ValueError("an id is given twice")
+    return spark.createDataFrame(rows, "id string, answer string")
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(binary(spark, path), ", ".join(f"{n} string" for n in parse.PREDICTION_FIELDS), list(parse.PREDICTION_FIELDS), lambda data, p: parse.predictions(data, _is_lines(p)))
 

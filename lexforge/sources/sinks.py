@@ -49,6 +49,16 @@ def write_json(root: str, name: str, value: object) -> Path:
     return write_once(root, name, (json.dumps(redacted(value), ensure_ascii=False, sort_keys=True, indent=2) + "\n").encode())
 
 
+def write_report(path: str, value: object, overwrite: bool = False) -> Path:
+    """A report as sorted JSON; an existing file is only replaced when told."""
+    target = Path(path)
+    if target.exists() and not overwrite:
+        raise Conflict(f"{path} exists; overwriting must be asked for")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(json.dumps(redacted(value), ensure_ascii=False, sort_keys=True, indent=2) + "\n", encoding="utf-8", newline="\n")
+    return target
+
+
 def write_json_lines(df: DataFrame, path: str, *order: str) -> None:
     """JSON lines sorted by the given columns, a file per range of the order; existing output is refused."""
     df.orderBy(*order).write.mode("errorifexists").json(path, ignoreNullFields=False)

@@ -32,13 +32,6 @@ def test_contains_and_fit(spark):
     ]
 
 
-def test_contained_in_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(audit, "NEEDLE_BYTES", 8)
-    needles = spark.createDataFrame([("n1", "abc"), ("n2", "abc"), ("n3", "zz"), ("n4", " "), ("n5", None)], "needle_id string, needle string")
-    texts = spark.createDataFrame([("t1", "xabcx"), ("t2", "zz abc"), ("t3", None)], "text_id string, text string")
-    assert rows(audit.contained(needles, texts)) == [("n1", "t1"), ("n1", "t2"), ("n2", "t1"), ("n2", "t2"), ("n3", "t2")]
-
-
 def test_holders_find_every_needle(spark, rows, monkeypatch):
     rng = random.Random(3)
     word = lambda least, most: "".join(rng.choice("abđ𝒳 ") for _ in range(rng.randint(least, most)))
@@ -58,7 +51,6 @@ def test_gold_leaks_have_short_and_train_answers(spark, tmp_path):
     chunks = [("c1", "trả lời: Có."), ("c2", "sau 5 giờ"), ("c3", "không")]
     spark.createDataFrame([(c, "d", "p", None, None, t, t) for c, t in chunks], "chunk_id string, document_id string, source_path string, source_member string, section_label string, raw_text string, retrieval_text string").write.parquet(f"{tmp_path}/legal_chunks.parquet")
     assert {tuple(r) for r in catalogue.gold_leaks(spark, str(tmp_path)).collect()} == {("c1", 1, 0), ("c2", 1, 0)}
-    assert catalogue.gold_in_chunks(spark, str(tmp_path)).count() == 0
 
 
 def test_case_support(spark):
@@ -80,7 +72,7 @@ def test_evidence_support_is_of_the_packed_evidence(spark, tmp_path):
     spark.createDataFrame(hits, "id string, method string, chunk_id string, document_id string, source_path string, rank int, bm25_score double, rerank_score double, received_at string, created_at string").write.parquet(f"{path}/retrieval_hits.parquet")
     got = {r["id"]: (r["exact"], r["top1_exact"], r["top3_exact"], r["overlap"]) for r in catalogue.evidence_support(spark, path).collect()}
     assert got == {"1|m": (True, False, False, 1.0), "2|m": (True, False, True, 1.0)}
-    assert {r["id"]: r["exact"] for r in catalogue.answer_support(spark, path).collect()} == {"1|m": False, "2|m": False}
+    assert {(r["id"], r["rank"]) for r in catalogue.answer_support(spark, path).collect() if r["exact"]} == {("1|m", 4), ("2|m", 3)}
 
 
 def test_schema_rules(spark, rows):

@@ -99,14 +99,14 @@ def test_sinks(spark, tmp_path):
 def test_submission_rules(spark, rows):
     expected = spark.createDataFrame([("007", 0), ("2", 1), ("1", 2), ("4", 3)], "id string, pos int")
     found = spark.createDataFrame([("007", 0, "a"), ("2", 1, " "), ("2", 1, "b"), ("9", 2, "c"), ("4", 3, None)], "id string, pos int, answer string")
-    assert rows(S.violations(expected, found)) == [("1", "MISSING_QUESTION_ID"), ("2", "DUPLICATE_QUESTION_ID"), ("2", "EMPTY_ANSWER"), ("4", "ANSWER_NOT_STRING"), ("9", "EXTRA_QUESTION_ID")]
+    assert rows(S.violations(expected, found)) == [("1", "SUBMISSION_MISSING_QUESTION_ID"), ("2", "SUBMISSION_DUPLICATE_QUESTION_ID"), ("2", "SUBMISSION_EMPTY_ANSWER"), ("4", "SUBMISSION_ANSWER_NOT_STRING"), ("9", "SUBMISSION_EXTRA_QUESTION_ID")]
     ids = ["007", "2"]
     data = S.to_json([("007", "a"), ("2", "b")])
     assert S.check_json(data, ids) == [] and S.check_zip(S.to_zip(data), ids) == [] and S.to_zip(data) == S.to_zip(data)
-    assert S.check_json(S.to_json([("2", "b"), ("007", "a")]), ids) == [("INVALID_QUESTION_ID", "2")]
+    assert S.check_json(S.to_json([("2", "b"), ("007", "a")]), ids) == [("SUBMISSION_INVALID_QUESTION_ID", "2")]
     bad = b'{"007": {"answer": 1}, "2": {"x": 1}, "3": [], "3": []}'
-    assert {c for c, _ in S.check_json(bad, ids)} == {"DUPLICATE_QUESTION_ID", "EXTRA_QUESTION_ID", "ANSWER_NOT_STRING", "MISSING_ANSWER", "VALUE_NOT_OBJECT"}
-    assert S.check_json(b"\xff", ids) == [("INVALID_UTF8", "")] and S.check_json(b"[]", ids) == [("TOP_LEVEL_NOT_OBJECT", "")] and S.check_zip(b"x", ids) == [("ZIP_INVALID", "")]
+    assert {c for c, _ in S.check_json(bad, ids)} == {"SUBMISSION_DUPLICATE_QUESTION_ID", "SUBMISSION_EXTRA_QUESTION_ID", "SUBMISSION_ANSWER_NOT_STRING", "SUBMISSION_MISSING_ANSWER", "SUBMISSION_VALUE_NOT_OBJECT"}
+    assert S.check_json(b"\xff", ids) == [("SUBMISSION_INVALID_UTF8", "")] and S.check_json(b"[]", ids) == [("SUBMISSION_TOP_LEVEL_NOT_OBJECT", "")] and S.check_zip(b"x", ids) == [("SUBMISSION_ZIP_INVALID", "")]
 
 
 def test_governance():
