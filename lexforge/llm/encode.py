@@ -21,6 +21,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: The vocabulary file is broadcast; a larger file than this is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 _NONE = 1 << 60
+#: Most bytes of ids in one batch that goes back to Spark.
+MOST_BATCH_BYTES = 256 << 20
 #: Longer runs without a break are merged from a heap.
 SHORT = 400
 
@@ -125,6 +127,13 @@ class _Shared:
         return self.broadcast.value
 
 
+def _lists(keys: pa.Array, packed: list[bytes], key: str) -> pa.RecordBatch:
+    offsets = np.zeros(len(packed) + 1, dtype=np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    flat = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[key, "ids"])
+
+
 def encode(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """Operator: (key, ids) for every row; null and empty texts give the empty list.
 
@@ -136,11 +145,15 @@ def encode(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", fol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shared)
         for batch in batches:
-            packed = [bpe.packed(t) if t else b"" for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(packed) + 1, dtype=np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            flat = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[key, "ids"])
+            start, size, packed = 0, 0, []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                ids = bpe.packed(text) if text else b""
+                if packed and size + len(ids) > MOST_BATCH_BYTES:  # offsets of a batch are 32 bits wide
+                    yield _lists(batch.column(0).slice(start, len(packed)), packed, key)
+                    start, size, packed = n, 0, []
+                packed.append(ids)
+                size += len(ids)
+            yield _lists(batch.column(0).slice(start, len(packed)), packed, key)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")

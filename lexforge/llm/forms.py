@@ -27,8 +27,10 @@ GREEK_AS_LATIN = "ABEZHIKMNOPTYXovaipuk"
 LATIN_VARIANTS = "ÐƉɑɡıſ"
 LATIN_VARIANTS_AS = "ĐĐagis"
 DASHES = "‐‑"
+OTHER = "ᴄᴏᴠᴡᴢꜱᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴօսհոցզՕՏ"
+OTHER_AS_LATIN = "covwzsDRTiAJEWMHYGhZbRWSVSLCPKdBBPDTGKJCZFMNLSRVHWXYAEIOUouhngqOS"
 
-TO_LATIN = dict(zip(map(ord, CYRILLIC + GREEK), CYRILLIC_AS_LATIN + GREEK_AS_LATIN))
+TO_LATIN = dict(zip(map(ord, CYRILLIC + GREEK + OTHER), CYRILLIC_AS_LATIN + GREEK_AS_LATIN + OTHER_AS_LATIN))
 TO_CYRILLIC = {ord(b): a for a, b in zip(reversed(CYRILLIC), reversed(CYRILLIC_AS_LATIN))}
 TO_GREEK = {ord(b): a for a, b in zip(reversed(GREEK), reversed(GREEK_AS_LATIN))}
 
@@ -36,10 +38,12 @@ TO_GREEK = {ord(b): a for a, b in zip(reversed(GREEK), reversed(GREEK_AS_LATIN))
 def _always() -> dict[int, str | None]:
     """Character by character: widths, blanks, unseen characters, Latin variants."""
     table: dict[int, str | None] = {}
-    for cp in range(0xFF01, 0xFF5F):
-        table[cp] = chr(cp - 0xFEE0)
     for cp in range(0x110000):
         kind = unicodedata.category(chr(cp))
+        form = unicodedata.decomposition(chr(cp)).partition(" ")[0]
+        # widths of any character; letters and numbers that differ from others by their type face or are ligatures
+        if form in ("<wide>", "<narrow>") or (form in ("<font>", "<compat>") and kind[0] in "LN"):
+            table[cp] = unicodedata.normalize("NFKD", chr(cp))
         if kind == "Zs" or cp == 0x09:
             table[cp] = " "
         elif kind == "Cf" or (kind == "Cc" and cp not in (0x0A, 0x0D)):
@@ -55,11 +59,11 @@ def _always() -> dict[int, str | None]:
 
 ALWAYS = _always()
 
-_LOOKALIKE = re.compile(f"[{CYRILLIC}{GREEK}]")
+_LOOKALIKE = re.compile(f"[{CYRILLIC}{GREEK}{OTHER}]")
 #: A decomposed word: letters with their marks.
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _LATIN_PLAIN = set(CYRILLIC_AS_LATIN + GREEK_AS_LATIN)
-_CYRILLIC_PLAIN, _GREEK_PLAIN = set(CYRILLIC), set(GREEK)
+_CYRILLIC_PLAIN, _GREEK_PLAIN = set(CYRILLIC + OTHER), set(GREEK)
 
 
 def _script(ch: str) -> str:

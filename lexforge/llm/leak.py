@@ -6,8 +6,9 @@ A table of block shifts says how far the window may jump over text whose last bl
 ``BLOCK`` words cannot end a pattern; blocks with shift 0 select a bucket of patterns, which
 are compared word by word and then widened to the longest common run.
 
-Test texts are taken in blocks of bounded bytes; each block is broadcast and searched in
-every corpus row.  Nothing of the corpus is shuffled but the rows that hold a hit.
+Test texts are taken in blocks of bounded bytes; each block in turn is broadcast, searched in
+every corpus row and given up again.  With several blocks the corpus is brought into its form
+once.  Nothing of the corpus is shuffled but the rows that hold a hit.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import blocks, cut, table
+from ..runtime import blocks, cut, stored, table
 from .encode import _Shared
 from .forms import consistent_form
 
@@ -125,11 +126,15 @@ def leaks(tests: DataFrame, corpus: DataFrame, min_words: int = 30, block_bytes:
     n_blocks = blocks(total, block_bytes / 2)
     rows = corpus.where(F.length("text") >= 2 * min_words - 1).select("row_id", F.lower(consistent_form(F.col("text"))).alias("form"))
     kind = corpus.schema["row_id"].dataType.simpleString()
+    rows = stored(rows) if n_blocks > 1 else rows
     found = None
     for block in range(n_blocks):
         part = distinct.where(F.pmod(F.xxhash64("text_key"), F.lit(n_blocks)) == block).toPandas()
-        shared = _Shared(spark.sparkContext.broadcast((part["text_key"].tolist(), part["form"].tolist())))
-        hits = rows.mapInArrow(_searcher(shared, min_words), f"row_id {kind}, text_key bigint, run_words int")
+        sent = spark.sparkContext.broadcast((part["text_key"].tolist(), part["form"].tolist()))
+        hits = rows.mapInArrow(_searcher(_Shared(sent), min_words), f"row_id {kind}, text_key bigint, run_words int")
+        if n_blocks > 1:  # one block at a time is held by the driver and the executors
+            hits = stored(hits)
+            sent.destroy()
         found = hits if found is None else found.unionByName(hits)
     best = found.groupBy("row_id", "text_key").agg(F.max("run_words").alias("run_words"))
     return best.join(keyed.select("test_id", "text_key"), "text_key").select("test_id", "row_id", "run_words")

@@ -21,6 +21,10 @@ from .encode import TOKENIZERS, token_counts
 BLOCK_TOKENS = 2048
 BUCKET_DOCS = 20_000
 SLOT_RANGE = 50_000
+#: Cells of the unit interval in which sources are looked up.
+CELLS = 1024
+#: Most sources a mixture may name; their table is held by the driver and broadcast.
+MOST_SOURCES = 10_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -38,10 +42,13 @@ def _schedule(spark: SparkSession, shares: list[tuple[str, float]], slots: int)
         edges.append((name, upto))
     u = (F.col("id") + 0.5) * GOLDEN
     u = u - F.floor(u)
-    source = F.lit(edges[-1][0])
-    for name, edge in reversed(edges[:-1]):
-        source = F.when(u < edge, F.lit(name)).otherwise(source)
-    s = spark.range(slots).select(F.col("id").alias("slot"), source.alias("source"), F.floor(F.col("id") / SLOT_RANGE).alias("stretch"))
+    # each source is looked up among those that reach into the point's cell: at most CELLS rows more than sources
+    lows = [0.0, *[edge for _, edge in edges[:-1]]]
+    highs = [*[edge for _, edge in edges[:-1]], 1.0]
+    reach = [(cell, name, lo, hi) for (name, _), lo, hi in zip(edges, lows, highs) if lo < hi for cell in range(int(lo * CELLS), min(CELLS - 1, int(hi * CELLS)) + 1)]
+    of = F.broadcast(spark.createDataFrame(reach, "cell int, source string, lo double, hi double"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), u.alias("u"), F.floor(F.col("id") / SLOT_RANGE).alias("stretch")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+    s = points.join(of, "cell").where("u >= lo and u < hi").select("slot", "source", "stretch")
     before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = s.groupBy("source", "stretch").agg(F.count(F.lit(1)).alias("n")).select("source", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     rank = F.row_number().over(Window.partitionBy("source", "stretch").orderBy("slot")) - 1
@@ -53,12 +60,15 @@ def mixture(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
 
     mix has (slot, place, source, doc_id, pass, n_tokens): documents in the order of the
     mixture.  Documents without tokens and sources without a target are left out; a target
-    source without documents is reported with share 0.
+    source without documents is reported with share 0.  Of repeated targets of a source the
+    largest counts; more than MOST_SOURCES sources are refused.
     """
     spark = sized.sparkSession
     sized = stored(sized.where("n_tokens > 0 and source is not null"))
-    goals = [(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source is not null and target_share > 0").orderBy("source").limit(10_000).collect()]
-    names = targets.select("source").distinct()
+    goals = [(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).orderBy("source").limit(MOST_SOURCES + 1).collect()]
+    if len(goals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources have a target")
+    names = spark.createDataFrame([(s,) for s, _, _ in goals], "source string")
     have = {r["source"]: (r["n"], r["t"]) for r in sized.join(F.broadcast(names), "source", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()}
     full = [(s, share, k, have.get(s, (0, 0))[1]) for s, share, k in goals]
     total = plan(full)

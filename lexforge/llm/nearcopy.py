@@ -27,17 +27,18 @@ from pyspark.sql import functions as F
 from ..runtime import cut, latest, stored, table
 from .forms import consistent_form
 
-N2, K2 = 6, 4
-#: Shingles of the largest set of a band per part: the expected content of a signature follows from it.
-PART = 18
+N2, K2 = 4, 2
+#: Shingles of the largest set of a band per part: the expected content of a signature, half of it, follows.
+PART = 12
 #: Bands up to this size use the prefix filter.
 SMALL = 48
 #: Signatures with fewer shingles are left out: common phrases alone would make them meet.
 LEAST_CONTENT = 5
-#: Smaller sets are partitioned several times over, until they have about so many signatures.
-SIGNATURES = 400
+#: A set makes about so many signatures of a partition: small sets are partitioned several times
+#: over, of large ones not all parts are used.
+SIGNATURES = 200
 #: The same for partitions by the least set of a band, where one-sided edits of its small sets meet.
-LOW_SIGNATURES = 800
+LOW_SIGNATURES = 340
 _WORDS = re.compile(r"[^\W_]+").findall
 _CHOICES = np.array([[i in c for i in range(N2)] for c in combinations(range(N2), N2 - K2)], dtype=bool)
 
@@ -65,15 +66,20 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _turn(s: np.ndarray, n1: int, tag: np.uint64, turn: np.uint64) -> np.ndarray:
-    """Signatures of one partition into n1 parts."""
+def _turn(s: np.ndarray, n1: int, used: int, tag: np.uint64, turn: np.uint64) -> np.ndarray:
+    """Signatures of the first ``used`` parts of one partition into n1 parts."""
     salt = tag + turn
     mixed = _scramble(s + turn)
     cell = (mixed % np.uint64(n1 * N2)).astype(np.int64)
-    content = np.zeros(n1 * N2, dtype=np.uint64)
-    np.add.at(content, cell, _scramble(mixed + salt))
-    count = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
-    content = content.reshape(n1, N2)
+    if used < n1:
+        inside = cell < used * N2
+        cell, mixed, n1 = cell[inside], mixed[inside], used
+    order = np.argsort(cell, kind="stable")
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_scramble(mixed + salt)[order], dtype=np.uint64)])
+    count = np.bincount(cell, minlength=n1 * N2)
+    ends = np.cumsum(count)
+    content = (sums[ends] - sums[ends - count]).reshape(n1, N2)
+    count = count.reshape(n1, N2)
     out = []
     for number, chosen in enumerate(_CHOICES):
         total = content[:, chosen].sum(axis=1, dtype=np.uint64)
@@ -97,8 +103,9 @@ def signatures(s: np.ndarray, t: float) -> np.ndarray:
             continue
         for end, (size, wanted) in enumerate(((largest, SIGNATURES), (t * largest, LOW_SIGNATURES))):
             n1 = max(2, round(size / PART))
+            used = min(n1, math.ceil(wanted / len(_CHOICES)))
             for turn in range(max(1, round(wanted / (n1 * len(_CHOICES))))):
-                out.append(_turn(s, n1, tag, np.uint64(turn + end * 4096)))
+                out.append(_turn(s, n1, used, tag, np.uint64(turn + end * 4096)))
     return np.concatenate(out)
 
 

@@ -1,10 +1,10 @@
 """Problem 7: evaluation records that return in the training split, exactly or almost.
 
-Evaluation texts are sharded, and an Aho-Corasick automaton over the pieces of a shard's
-texts scans the training texts that may belong to it.  Pieces are word bigrams; of each
-evaluation text only the rarest of its shard are patterns, as many as suffice: a text that
-shares the required part of its bigrams shares one of any n - ceil(t * n) + 1 of them.  The
-matched intervals of a candidate are merged into its coverage, and an exact count decides.
+Evaluation texts are sharded, and an Aho-Corasick automaton over the pieces (word bigrams) of
+a shard's texts scans the training texts that may belong to it.  Of each evaluation text the
+rarest pieces of its shard propose it, as many as suffice: a text that shares the required
+part of its bigrams shares one of any n - ceil(t * n) + 1 of them.  All hits on a proposed text
+are merged as intervals into its coverage, and their number decides.
 
 Because both texts must hold the same words with digits, the multiset of those words is the
 shard key; a key with many rows is split into blocks of evaluation texts times salts of
@@ -63,23 +63,23 @@ def _match(threshold: float):
             for n, (f, sig) in enumerate(zip(held["form"], held["digits"])):
                 equal.setdefault((f, sig), []).append(n)
             machine = ahocorasick.Automaton()
-            for g in posting:
+            for g in often:
                 machine.add_word(g, g)
-            if posting:
+            if often:
                 machine.make_automaton()
             held_sig, held_key, held_form = held["digits"].tolist(), held["text_key"].tolist(), held["form"].tolist()
             for key, form, sig in zip(train["text_key"], train["form"], train["digits"]):
                 near = set(equal.get((form, sig), ()))
+                hits = {g for _, g in machine.iter(f" {form} ")} if often else set()
+                for g in hits:
+                    near.update(posting.get(g, ()))
                 own = None
-                if posting:
-                    for g in {g for _, g in machine.iter(f" {form} ")}:
-                        near.update(posting[g])
                 for n in near:
                     if held_sig[n] != sig:
                         continue
-                    own = _grams(form.split()) if own is None else own
-                    both = own & grams[n]
-                    either = len(own) + len(grams[n]) - len(both)
+                    own = len(_grams(form.split())) if own is None else own
+                    both = hits & grams[n]
+                    either = own + len(grams[n]) - len(both)
                     score = len(both) / either if either else float(form == held_form[n])
                     if score >= threshold - 1e-12:
                         out.append((key, held_key[n], score, _coverage(held_form[n].split(), both)))
@@ -137,6 +137,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
 
 
+def p7_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Per held-out record that returns in train: its train records, the most similar, and how much of it one of them covers."""
+    held = _records(spark, folder).where("split is not null and split <> 'train'").select(F.col("id").alias("eval_id"), "split", "source").distinct()
+    found = overlaps(_records(spark, folder)).where("train_id <> eval_id")
+    per = found.groupBy("eval_id").agg(F.count_distinct("train_id").alias("n_train"), F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
+    return held.join(per, "eval_id")
+
+
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per held-out split and source: records, records that return in train, train records behind them."""
     held = _records(spark, folder).where("split is not null and split <> 'train'").select(F.col("id").alias("eval_id"), "split", "source").distinct()

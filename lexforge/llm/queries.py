@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": nearcopy.p6_found,
         "p6_groups": nearcopy.p6_groups,
         "p7_found": overlap.p7_found,
+        "p7_coverage": overlap.p7_coverage,
         "p7_report": overlap.p7_report,
         "p8_ids": encode.p8_ids,
         "p9_mix": mix.p9_mix,

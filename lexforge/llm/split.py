@@ -96,15 +96,18 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["kind", "id", "piece", "start_offset", "end_offset", "cut", "text"])
 
 
+def _may_exceed():
+    """Whether a text can be above its limit: by its bytes, or its code points, a bound for words."""
+    return F.when(F.col("unit") == "bytes", F.octet_length("text")).otherwise(F.length("text")) > F.col("max_size")
+
+
 def split_items(items: DataFrame) -> DataFrame:
     """Operator: rows (kind, id, text, unit, max_size, overlap_size) -> ordered pieces of the oversized ones.
 
     Null and fitting texts give no rows.  Only oversized texts (by code points, a bound for
     words) reach Python; no shuffle.
     """
-    over = items.where(
-        F.when(F.col("unit") == "bytes", F.octet_length("text")).otherwise(F.length("text")) > F.col("max_size")
-    )
+    over = items.where(_may_exceed())
     return over.select("kind", "id", "text", "max_size", "overlap_size", "unit").mapInPandas(
         _cut, "kind string, id string, piece int, start_offset int, end_offset int, cut string, text string"
     )
@@ -112,7 +115,8 @@ def split_items(items: DataFrame) -> DataFrame:
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """Passages and raw texts above the limits of split_limits (two rows, fixed: broadcast), each key once."""
-    limits = F.broadcast(table(spark, folder, "split_limits").where("field in ('legal_documents.passage', 'legal_chunks.raw_text')").dropDuplicates(["field"]).limit(2))
+    named = table(spark, folder, "split_limits").where("field in ('legal_documents.passage', 'legal_chunks.raw_text')")
+    limits = F.broadcast(latest(named, ["field"], None))  # one row per field, two at most
     d = table(spark, folder, "legal_documents").select(
         F.lit("legal_documents.passage").alias("field"), F.lit("document").alias("kind"), "id", F.col("passage").alias("text"), "received_at"
     )
@@ -120,7 +124,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("legal_chunks.raw_text").alias("field"), F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), F.col("raw_text").alias("text"),
         F.lit(None).cast("timestamp").alias("received_at"),
     )
-    over = d.unionByName(c).join(limits, "field").where(F.length("text") > F.col("max_size"))
+    over = d.unionByName(c).join(limits, "field").where(_may_exceed())
     return latest(over, ["kind", "id"])
 
 
