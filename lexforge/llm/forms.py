@@ -35,10 +35,14 @@ TO_CYRILLIC = {ord(b): a for a, b in zip(reversed(CYRILLIC), reversed(CYRILLIC_A
 TO_GREEK = {ord(b): a for a, b in zip(reversed(GREEK), reversed(GREEK_AS_LATIN))}
 
 
+#: Where characters stand that are neither ideographs, Hangul syllables, surrogates nor private.
+ASSIGNED = (range(0x3400), range(0x4DC0, 0x4E00), range(0xA000, 0xAC00), range(0xD7A4, 0xD800), range(0xF900, 0x20000), range(0xE0000, 0xE1000))
+
+
 def _always() -> dict[int, str | None]:
     """Character by character: widths, blanks, unseen characters, Latin variants."""
     table: dict[int, str | None] = {}
-    for cp in range(0x110000):
+    for cp in (cp for block in ASSIGNED for cp in block):
         kind = unicodedata.category(chr(cp))
         form = unicodedata.decomposition(chr(cp)).partition(" ")[0]
         # widths of any character; letters and numbers that differ from others by their type face or are ligatures
@@ -122,22 +126,50 @@ PLAIN = (
     r"^(?:[\n\x20-\x7E]++|[Ạ-ỹ]++|[§«°»×÷àáâãèéêìíòóôõùúýÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝ]++"
     r"|[Ăă]++|[Đđ]++|[Ơơ]++|[Ưư]++|[Ĩĩ]++|[Ũũ]++|[–—‘’“”•…]++)*+$"
 )
-_PLAIN = re.compile(r"[\n\x20-\x7E§«°»×÷àáâãèéêìíòóôõùúýÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝăĂđĐĩĨũŨơƠưƯẠ-ỹ–—‘’“”•…]*").fullmatch
+_PLAIN_CHARS = r"\n\x20-\x7E§«°»×÷àáâãèéêìíòóôõùúýÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝăĂđĐĩĨũŨơƠưƯẠ-ỹ–—‘’“”•…"
+_PLAIN = re.compile(f"[{_PLAIN_CHARS}]*").fullmatch
+#: Runs between blanks and line ends that hold any other character.
+_ODD = re.compile(rf"(?<![^ \n])[^ \n]*?[^{_PLAIN_CHARS}][^ \n]*")
+#: Most such runs remembered per worker, and the longest.
+RUNS_KEPT, RUN_CHARS = 100_000, 64
+
+
+def _run(text: str) -> str:
+    """The form of a run, but for words whose script the rest of the text decides."""
+    text = unicodedata.normalize("NFD", text).translate(ALWAYS).replace("\r", "\n")
+    if _LOOKALIKE.search(text):
+        text = _WORD.sub(_own_script, text)
+    return unicodedata.normalize("NFC", text)
+
+
+class _Runs(dict):
+    """Forms of runs, found out once: a corpus repeats them."""
+
+    def __call__(self, match: re.Match) -> str:
+        run = match.group()
+        if (form := self.get(run)) is None:
+            form = _run(run)
+            if len(run) <= RUN_CHARS:
+                if len(self) >= RUNS_KEPT:  # memory stays bounded on any corpus
+                    self.clear()
+                self[run] = form
+        return form
+
+
+_runs = _Runs()
 
 
 def consistent(text: str) -> str:
     """The consistent form of one text."""
     if _PLAIN(text):
         return text
-    text = unicodedata.normalize("NFD", text).translate(ALWAYS).replace("\r\n", "\n").replace("\r", "\n")
-    if _LOOKALIKE.search(text):
-        text = _WORD.sub(_own_script, text)
-        if _PENDING.search(text):
-            # words of look-alikes only: the script of the rest of the text is theirs
-            rest = [_script(c) for c in text if c.isalpha()]
-            back = TO_LATIN if rest.count("l") >= max(rest.count("c"), rest.count("g")) and "l" in rest else {}
-            text = _PENDING.sub(lambda m: "".join(chr(ord(c) - 0xF0000) for c in m.group()).translate(back), text)
-    return unicodedata.normalize("NFC", text)
+    text = _ODD.sub(_runs, text.replace("\r\n", "\n"))
+    if _PENDING.search(text):
+        # words of look-alikes only: the script of the rest of the text is theirs
+        rest = [_script(c) for c in text if c.isalpha()]
+        back = TO_LATIN if rest.count("l") >= max(rest.count("c"), rest.count("g")) and "l" in rest else {}
+        text = unicodedata.normalize("NFC", _PENDING.sub(lambda m: "".join(chr(ord(c) - 0xF0000) for c in m.group()).translate(back), text))
+    return text
 
 
 @F.pandas_udf(StringType())
