@@ -149,7 +149,8 @@ def retrieval_status(packed: DataFrame) -> DataFrame:
 def error_report(scores: DataFrame, references: DataFrame, predictions: DataFrame, retrieval: DataFrame, error_types: DataFrame | None = None) -> DataFrame:
     """One row per scored or unscored case, worst first: unscored ones, then METEOR, ROUGE-L, id.
 
-    Predictions and retrieval rows may be missing; ``error_types`` (id, error_type) must name
+    Scores are ordered by their first nine decimals: the same fraction computed along another
+    path may differ in its last bits, and such cases are equal.  Predictions and retrieval rows may be missing; ``error_types`` (id, error_type) must name
     known diagnostic types.
     """
     joined = (
@@ -161,7 +162,8 @@ def error_report(scores: DataFrame, references: DataFrame, predictions: DataFram
     if error_types is not None:
         known = require(error_types, F.col("error_type").isin(*ERROR_TYPES), "unknown error type")
         joined = joined.join(known.groupBy("id").agg(F.array_sort(F.collect_set("error_type")).alias("error_types")), "id", "left")
-    return ranked_whole(joined, [F.col("meteor").asc_nulls_first(), F.coalesce("rouge_l", F.lit(-1.0)).asc(), F.col("id").asc()], "place")
+    meteor_9, rouge_9 = F.round("meteor", 9), F.round("rouge_l", 9)
+    return ranked_whole(joined, [meteor_9.asc_nulls_first(), F.coalesce(rouge_9, F.lit(-1.0)).asc(), F.col("id").asc()], "place")
 
 
 def ranked_whole(df: DataFrame, order: list[Column], name: str) -> DataFrame:

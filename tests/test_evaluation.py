@@ -75,3 +75,11 @@ def test_error_report_is_worst_first(spark):
     assert "u<br>v" in lines[0] and "x\\|y" in lines[1] and "0.800000" in lines[1]
     with pytest.raises(Exception, match="unknown error type"):
         E.error_report(s, refs, refs, E.retrieval_status(packed), spark.createDataFrame([("a", "NOPE")], "id string, error_type string")).collect()
+
+
+def test_error_report_ties_scores_that_differ_in_their_last_bits(spark):
+    s = spark.createDataFrame([("a", "scored", 0.1 + 0.2, 0.2), ("b", "scored", 0.3, 0.9), ("c", "scored", 0.3, 0.1 + 0.1)], "id string, status string, meteor double, rouge_l double")
+    texts = spark.createDataFrame([(i, "x") for i in "abc"], "id string, answer string")
+    packed = spark.createDataFrame([], "id string, status string, blocks array<struct<rank int, chunk_id string, document_id string, block string>>")
+    report = E.error_report(s, texts, texts, E.retrieval_status(packed))
+    assert [r["id"] for r in report.orderBy("place").collect()] == ["a", "c", "b"]
