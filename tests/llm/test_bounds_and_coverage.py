@@ -1,6 +1,10 @@
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from lexforge import runtime
 from lexforge.llm import encode, forms, leak, mix, nearcopy, overlap, split
 
 
@@ -81,3 +85,30 @@ def test_inserted_and_reordered_text_is_found(spark):
     members, links = nearcopy.near_copies(df, 3, 0.6)
     of = {r["class"]: r["id"] for r in members.collect()}
     assert {tuple(sorted((of[r["class_a"]], of[r["class_b"]]))) for r in links.collect()} >= {("a", "b"), ("a", "c")}
+
+
+def test_near_copies_keep_less_on_disk_than_their_texts(spark):
+    rng = np.random.default_rng(7)
+    texts = [(f"i{i}", " ".join(f"tu{x}" for x in rng.integers(0, 2000, size=500))) for i in range(300)]
+    before = len(runtime._written.get(spark.sparkContext.applicationId, []))
+    nearcopy.near_copies(spark.createDataFrame(texts, "id string, text string"), 3, 0.6)
+    written = runtime._written[spark.sparkContext.applicationId][before:]
+    kept = sum(p.stat().st_size for path in written for p in Path(path.removeprefix("file:")).rglob("*.parquet"))
+    assert kept < sum(len(t) for _, t in texts)
+
+
+@pytest.mark.parametrize("size,kept,added", [(30, 18, 0), (60, 36, 0), (200, 160, 27), (400, 300, 100)])
+def test_pairs_at_the_threshold_meet_in_a_round(size, kept, added):
+    """Two sets that share a signature also pass the comparison of their bits or parities; words stand for themselves."""
+    rng = np.random.default_rng(size)
+    words = []
+    for _ in range(50):
+        pool = rng.integers(0, 2**63, size=size + added, dtype=np.int64)
+        words += [pool[:size].tolist(), pool[:kept].tolist() + pool[size:].tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(words, type=pa.list_(pa.int64()))], names=["class", "words"])
+    met = set()
+    for number in range(nearcopy.ROUNDS):
+        for rows in nearcopy._entries(1, 0.6, number, 1)(iter([batch])):
+            for e in rows.column("entries").to_pylist():
+                met.update((a, b) for pairs in nearcopy._met(np.frombuffer(e, dtype=nearcopy.ENTRY), 0.6) for a, b in pairs.tolist())
+    assert met >= {(i, i + 1) for i in range(0, 100, 2)}
