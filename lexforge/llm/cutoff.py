@@ -13,7 +13,8 @@ Kinds of lines are list items (by source), short and longer single statements (t
 line, labelled answers) and running text.  In running text only a trigram that often stands
 at an unpunctuated end (signatures, forms) may end a text without a stop; in the other kinds
 an end is a cut if its trigram hardly ever ends anything, a prior that the sightings in
-lines of its own kind correct.  All counts run over all documents, equal texts once; everything is SQL.
+lines of its own kind correct.  The beginning of a word recurs at cuts, never inside, so the
+longer words behind the same two count as sightings inside.  All counts run over all documents, equal texts once; everything is SQL.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ RARELY_STOPPED = 0.03
 
 #: Most grams (8 bytes each) that are broadcast to drop the others before they are counted.
 BROADCAST_GRAMS = 1_000_000
+#: The same for what stands before an open end.
+BROADCAST_CONTEXTS = 4_000_000
 
 #: Words that cannot close even a short phrase (fixed values).
 FUNCTION_WORDS = (
@@ -142,9 +145,12 @@ def _at(i: str) -> tuple[str, str]:
     return word, shape
 
 
+#: What stands before the last word, at the levels of words and shapes.
+_WORD_BEFORE = "xxhash64('w', w2, w1)"
+_SHAPE_BEFORE = "xxhash64('s', s2, s1)"
 #: A gram is a hash of its level and its words: words and shapes of three, shapes of two.
-_WORD_GRAM = "xxhash64('w', w2, w1, w0)"
-_SHAPE_GRAM = "xxhash64('s', s2, s1, s0)"
+_WORD_GRAM = f"xxhash64({_WORD_BEFORE}, w0)"
+_SHAPE_GRAM = f"xxhash64({_SHAPE_BEFORE}, s0)"
 _PAIR_GRAM = "xxhash64('b', s1, s0)"
 
 
@@ -159,26 +165,42 @@ with parts as (
   select *, {_three("(array_size(tokens) - 1)")} from {{lines}}
 )
 select doc_id, source, kind, stopped, said, array_size(tokens) as n_words, w0 as last_word,
-  {_WORD_GRAM} as word_gram, {_SHAPE_GRAM} as shape_gram, {_PAIR_GRAM} as pair_gram
+  {_WORD_GRAM} as word_gram, {_SHAPE_GRAM} as shape_gram, {_PAIR_GRAM} as pair_gram,
+  case when w0 >= ':' then xxhash64({_WORD_BEFORE}, left(w0, 1)) end as word_context, case when s0 = w0 and w0 >= ':' then xxhash64({_SHAPE_BEFORE}, left(s0, 1)) end as shape_context
 from parts
 """
 
+_KNOWN = "left join {contexts} w on w.context = word_before_1 left join {contexts} s on s.context = shape_before_1"
 #: Sightings inside and at ends of lines, of the grams that leave an end open; the others are
-#: dropped before anything is counted.
+#: dropped before anything is counted.  Behind what stands before such an end, a word is also a
+#: ``longer`` sighting of each of its beginnings: a cut leaves a beginning that never stands inside.
 _SQL_GRAMS = f"""
 with tokens as (
   select kind, stopped, tokens, array_size(tokens) - 1 as last, i from {{lines}} lateral view outer posexplode(tokens) t as i, token
 ), three as (
   select kind, stopped, i = last as at_end, {_three("i")} from tokens where i is not null
+), before as (
+  select kind, stopped, at_end, w0, s0, {_PAIR_GRAM} as pair_gram, {_WORD_BEFORE} as word_before, {_SHAPE_BEFORE} as shape_before, length(w0) > 1 and w0 >= ':' as letters from three
+), first as (
+  select *, case when letters then xxhash64(word_before, left(w0, 1)) end as word_before_1, case when letters and s0 = w0 then xxhash64(shape_before, left(s0, 1)) end as shape_before_1 from before
+), known as (
+  select /*+ BROADCAST(w), BROADCAST(s) */ first.*, w.context is not null and word_before_1 is not null as begun, s.context is not null and shape_before_1 is not null as shape_begun from first {_KNOWN}
+), begun as (
+  -- without functions of arrays, which would leave the compiled code; 0 is the word itself
+  select known.*, n from known lateral view explode(sequence(0, case when begun or shape_begun then length(w0) - 1 else 0 end)) t as n
 )
-select kind, stopped, at_end, gram from three lateral view explode(array({_WORD_GRAM}, {_SHAPE_GRAM}, {_PAIR_GRAM})) t as gram
+select kind, stopped, at_end, n > 0 as longer, gram
+from begun lateral view explode(case when n = 0 then array(xxhash64(word_before, w0), xxhash64(shape_before, s0), pair_gram)
+  else array(case when begun then xxhash64(word_before, left(w0, n)) end, case when shape_begun then xxhash64(shape_before, left(s0, n)) end) end) t as gram
+where gram is not null
 """
 
 _SQL_COUNTS = """
 select kind, gram,
-       count(*) as seen,
-       count_if(at_end and not stopped) as open_ends,
-       count_if(at_end and stopped) as closed_ends
+       count_if(not longer) as seen,
+       count_if(at_end and not stopped and not longer) as open_ends,
+       count_if(at_end and stopped and not longer) as closed_ends,
+       count_if(longer) as longer
 from {grams} group by kind, gram
 """
 
@@ -188,24 +210,34 @@ with judged as (
          coalesce(w.seen, 1) - 1 as w_seen, coalesce(w.open_ends, 0) - int(not e.stopped) as w_open, coalesce(w.closed_ends, 0) - int(e.stopped) as w_closed,
          coalesce(s.seen, 1) - 1 as s_seen, coalesce(s.open_ends, 0) - int(not e.stopped) as s_open, coalesce(s.closed_ends, 0) - int(e.stopped) as s_closed,
          coalesce(b.seen, 1) - 1 as b_seen, coalesce(b.open_ends, 0) - int(not e.stopped) as b_open,
-         coalesce(p.seen, 1) - 1 as p_seen, coalesce(p.ends, 0) - 1 as p_ends
+         coalesce(p.seen, 1) - 1 as p_seen, coalesce(p.ends, 0) - 1 as p_ends,
+         coalesce(w.longer, 0) as w_longer, coalesce(s.longer, 0) as s_longer, coalesce(p.longer, 0) as p_longer
   from {ends} e
   left join {counts} w on e.kind = w.kind and e.word_gram = w.gram
   left join {counts} s on e.kind = s.kind and e.shape_gram = s.gram
   left join {counts} b on e.kind = b.kind and e.pair_gram = b.gram
   left join {pooled} p on e.word_gram = p.gram
+), beginnings as (
+  -- outside running text names end lines, and one may begin another: only what hardly stands inside is a beginning
+  select *, kind = 'running' or 10 * (p_seen - p_ends) <= p_longer as begun,
+         case when last_word in ({function_words}) then 1 else 30 end as short_ends, case when last_word in ({function_words}) then 1 else 3 end as single_ends
+  from judged
+), sightings as (
+  select *, w_seen + if(begun, w_longer, 0) as w_all, s_seen + if(begun, s_longer, 0) as s_all
+  from beginnings
 ), rates as (
   select *,
-         case when kind = 'running' then case when w_seen >= {support} then w_open / w_seen when s_seen >= {support} then s_open / s_seen / 3 else 0 end
+         case when kind = 'running' then case when w_all >= {support} then w_open / w_all when s_all >= {support} then s_open / s_all / 3 else 0 end
+              when begun and p_longer >= {support} then p_ends / (p_seen + p_longer)
               when n_words <= 6 and kind = 'short' and p_seen >= {support} and not last_word in ({function_words}) then 1
-              when kind = 'short' and p_seen >= {support} then (w_open + 4 * p_ends / p_seen) / (w_seen + 4) * 30
-              when p_seen >= {support} then (w_open + 4 * p_ends / p_seen) / (w_seen + 4) * 3
-              when s_seen >= {support} then s_open / s_seen
+              when kind = 'short' and p_seen >= {support} then (w_open + 4 * p_ends / p_seen) / (w_seen + 4) * short_ends
+              when p_seen >= {support} then (w_open + 4 * p_ends / p_seen) / (w_seen + 4) * single_ends
+              when s_all >= {support} then s_open / s_all
               when b_seen >= {support} then b_open / b_seen
               when kind = 'short' and n_words <= 6 and not last_word in ({function_words}) then 1
               else 0 end as open_rate,
          case when w_seen >= {support} then w_closed / w_seen when s_seen >= {support} then s_closed / s_seen end as closed_rate
-  from judged
+  from sightings
 )
 select doc_id, source, kind, open_rate, closed_rate, w_seen, s_seen,
   case when said = 'number?' and closed_rate < {rarely_stopped} then 'number'
@@ -258,11 +290,15 @@ def cut_texts(docs: DataFrame, rarely: float = RARELY, consistent: bool = False)
     ends = stored(_sql(spark, _SQL_ENDS, lines=_sql(spark, lines.replace("{which}", _LAST), docs=bodies)))
     undecided = ends.where(F.col("said").isin("open?", "number?"))
     wanted = stored(undecided.select(F.explode(F.array("word_gram", "shape_gram", "pair_gram")).alias("gram")).distinct())
-    grams = _sql(spark, _SQL_GRAMS, lines=_sql(spark, lines.replace("{which}", _EVERY), docs=bodies))
+    contexts = stored(undecided.select(F.explode(F.array("word_context", "shape_context")).alias("context")).where("context is not null").distinct())
+    sql = _SQL_GRAMS
+    if contexts.count() > BROADCAST_CONTEXTS:  # beyond, the beginnings of all words are counted
+        sql = sql.replace(_KNOWN, "cross join (select 0L as context) w cross join (select 0L as context) s")
+    grams = _sql(spark, sql, lines=_sql(spark, lines.replace("{which}", _EVERY), docs=bodies), contexts=contexts)
     if wanted.count() <= BROADCAST_GRAMS:  # beyond, all grams are counted
         grams = grams.join(F.broadcast(wanted), "gram", "left_semi")
     counts = stored(_sql(spark, _SQL_COUNTS, grams=grams))
-    pooled = counts.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum(F.col("open_ends") + F.col("closed_ends")).alias("ends"))
+    pooled = counts.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum(F.col("open_ends") + F.col("closed_ends")).alias("ends"), F.sum("longer").alias("longer"))
     judge = _SQL_JUDGE.replace("{support}", str(SUPPORT)).replace("{rarely}", str(rarely)).replace("{rarely_stopped}", str(RARELY_STOPPED))
     judge = judge.replace("{function_words}", ", ".join(f"'{w}'" for w in FUNCTION_WORDS))
     judged = _sql(spark, judge, ends=undecided, counts=counts, pooled=pooled).select("doc_id", "source", "kind", "cut")

@@ -178,3 +178,11 @@ def test_scores_do_not_depend_on_the_batch():
     for p, t, b in zip(alone, tf, background):  # another round moves nothing
         e = t * 0.1 * p / (0.1 * p + 0.9 * b)
         assert np.abs(e / e.sum() - p).max() < distinct.TOLERANCE
+
+
+def test_beginnings_of_words_that_recur_at_cuts(spark):
+    heads = [f"Hồ sơ số {n} nộp tại phòng {n}.\n" for n in range(76)]
+    whole = [h + "Các bên giữ nguyên quan điểm về mức phí đã nêu." for h in heads[:60]] + [h + "Nơi nhận như trên" for h in heads[60:70]]
+    got = cuts(spark, whole + [h + "Các bên giữ nguyên quan điểm về m" for h in heads[70:]])
+    assert not any(got[n] for n in range(70)), got
+    assert all(got[n] for n in range(70, 76)), got
