@@ -184,7 +184,7 @@ with tokens as (
 ), first as (
   select *, case when letters then xxhash64(word_before, left(w0, 1)) end as word_before_1, case when letters and s0 = w0 then xxhash64(shape_before, left(s0, 1)) end as shape_before_1 from before
 ), known as (
-  select /*+ BROADCAST(w), BROADCAST(s) */ first.*, w.context is not null and word_before_1 is not null as begun, s.context is not null and shape_before_1 is not null as shape_begun from first {_KNOWN}
+  select /*+ BROADCAST(w), BROADCAST(s) */ first.*, w.context is not null as begun, s.context is not null as shape_begun from first {_KNOWN}
 ), begun as (
   -- without functions of arrays, which would leave the compiled code; 0 is the word itself
   select known.*, n from known lateral view explode(sequence(0, case when begun or shape_begun then length(w0) - 1 else 0 end)) t as n
@@ -293,7 +293,7 @@ def cut_texts(docs: DataFrame, rarely: float = RARELY, consistent: bool = False)
     contexts = stored(undecided.select(F.explode(F.array("word_context", "shape_context")).alias("context")).where("context is not null").distinct())
     sql = _SQL_GRAMS
     if contexts.count() > BROADCAST_CONTEXTS:  # beyond, the beginnings of all words are counted
-        sql = sql.replace(_KNOWN, "cross join (select 0L as context) w cross join (select 0L as context) s")
+        sql = sql.replace(_KNOWN, "left join (select 0L as context) w on word_before_1 is not null left join (select 0L as context) s on shape_before_1 is not null")
     grams = _sql(spark, sql, lines=_sql(spark, lines.replace("{which}", _EVERY), docs=bodies), contexts=contexts)
     if wanted.count() <= BROADCAST_GRAMS:  # beyond, all grams are counted
         grams = grams.join(F.broadcast(wanted), "gram", "left_semi")
