@@ -1,6 +1,7 @@
 import random
 
 from lexforge.operators import evaluation as E
+from lexforge.plans import catalogue
 
 
 def test_scores_need_no_exchange_or_join(spark):
@@ -24,3 +25,12 @@ def test_kept_columns_and_more_cases_than_a_slice(spark):
             n, m = len(reference.split()), len(prediction.split())
             lcs = E.lcs_length(reference.split(), prediction.split())
             assert abs(r["rouge_l"] - 2 * lcs / (n + m)) < 1e-12 and (r["meteor"] > 0) == bool(set(reference) & set(prediction) - {" "})
+
+
+def test_report_packs_the_evidence_of_its_cases_only(spark, small):
+    pairs = catalogue._pairs(spark, small)
+    packed = catalogue._packed(spark, small, pairs)
+    assert packed.join(pairs, "id", "left_anti").count() == 0
+    whole = catalogue._packed(spark, small).join(pairs.select("id"), "id", "left_semi")
+    key = lambda df: sorted(map(str, df.select("id", "chunk_id", "rank", "block").collect()))
+    assert key(packed) == key(whole) and key(packed)
