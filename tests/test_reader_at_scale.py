@@ -30,3 +30,10 @@ def test_candidates_and_best_over_repeated_contexts(spark):
     done = reader.run(q, reader.mock(lambda question, context: reader.Span(context, float(len(context)))), "tuned_bm25_reader", many, 5)
     assert [(r["answer"], r["source_case_id"]) for r in done.predictions.collect()] == [("thuế neo", "c000")]
     assert done.candidates.count() == 2
+
+
+def test_retrieved_contexts_come_once_behind_the_own_one(spark):
+    q = spark.createDataFrame([("q", "thuế neo", "thuế")], "id string, question string, context string")
+    hits = retrieval.reader_bm25(q.select("id", "question"), cases(spark), 3)
+    got = retrieval.reader_candidates(q.select("id", "context"), hits, cases(spark).select("case_id", "context")).orderBy("position").collect()
+    assert [(r["position"], r["source_case_id"]) for r in got] == [(0, "q"), (1, "c4"), *[(n + 2, c) for n, c in enumerate(r["case_id"] for r in hits.where("rank > 1").orderBy("rank").collect())]]
